@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from factloom.llm import encode, packing
+from factloom.llm import encode, packing, parsing
 from factloom.sources.tables import load
 
 QUERIES = {
+    "p4_found": lambda s, d: parsing.broken(load(s, d, "source_files"), load(s, d, "source_texts")),
+    "p4_rates": lambda s, d: parsing.rates(load(s, d, "source_files"), load(s, d, "source_texts")),
     "p6_ids": lambda s, d: encode.encode_documents(load(s, d, "documents")),
     "p7_containers": lambda s, d: packing.pack_documents(load(s, d, "documents"), load(s, d, "context_budgets")),
     "p7_fill": lambda s, d: packing.fill_report(packing.pack_documents(load(s, d, "documents"), load(s, d, "context_budgets")), load(s, d, "context_budgets")),
