@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from factloom.llm import documented, encode, packing, parsing
+from factloom.llm import documented, encode, handwritten, packing, parsing
 from factloom.sources.tables import load
 
 QUERIES = {
     "p1_found": lambda s, d: documented.documented(load(s, d, "symbols"), load(s, d, "source_files"), load(s, d, "source_texts")),
     "p1_pairs": lambda s, d: documented.pairs(load(s, d, "symbols"), load(s, d, "source_files"), load(s, d, "source_texts")),
+    "p2_found": lambda s, d: handwritten.not_handwritten(load(s, d, "source_files"), load(s, d, "source_texts"), load(s, d, "upstream_files"), load(s, d, "projects")),
+    "p2_origins": lambda s, d: handwritten.origins(load(s, d, "source_files"), load(s, d, "source_texts"), load(s, d, "upstream_files"), load(s, d, "projects")),
     "p4_found": lambda s, d: parsing.broken(load(s, d, "source_files"), load(s, d, "source_texts")),
     "p4_rates": lambda s, d: parsing.rates(load(s, d, "source_files"), load(s, d, "source_texts")),
     "p6_ids": lambda s, d: encode.encode_documents(load(s, d, "documents")),
