@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import documented, encode, handwritten, packing, parsing
+from factloom.llm import abuse, documented, encode, handwritten, packing, parsing
 from factloom.sources.tables import load
 
 QUERIES = {
@@ -15,6 +15,9 @@ QUERIES = {
     "p6_ids": lambda s, d: encode.encode_documents(load(s, d, "documents")),
     "p7_containers": lambda s, d: packing.pack_documents(load(s, d, "documents"), load(s, d, "context_budgets")),
     "p7_fill": lambda s, d: packing.fill_report(packing.pack_documents(load(s, d, "documents"), load(s, d, "context_budgets")), load(s, d, "context_budgets")),
+    "p8_found": lambda s, d: abuse.offensive(load(s, d, "documents"), load(s, d, "review_labels")),
+    "p8_scores": lambda s, d: abuse.scores(load(s, d, "documents"), load(s, d, "review_labels")),
+    "p8_rates": lambda s, d: abuse.rates(load(s, d, "documents"), load(s, d, "review_labels")),
 }
 
 ORACLE: dict[str, str] = {}
