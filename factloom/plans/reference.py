@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from factloom.facts import Facts
 from factloom.functions.text import identifier_words
-from factloom.operators import graph, relational as rel, retrieval
-from factloom.sources.tables import EXTENSION_LANGUAGE, load
+from factloom.operators import graph, relational as rel, resolve, retrieval
+from factloom.sources.code import facts_of
+from factloom.sources.tables import EXTENSION_LANGUAGE
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -308,3 +309,30 @@ _BM = [
 ]
 add("t_bm25f", lambda f: _ranked(f, 4), "SELECT qid, doc, score, matched FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS r FROM sc) WHERE r <= 4", *_BM)
 add("t_scores", lambda f: _ranked(f, None).select("qid", "doc", "matched"), "SELECT qid, doc, matched FROM sc", *_BM)
+
+# -- 2.1, 2.11, 2.12 extraction, resolution and analyses of functions: no SQL, tested on small sources ----------------------
+
+
+def _code(what: str, *languages: str):
+    return lambda f: facts_of(f.raw("source_files"), f.raw("source_texts"), what, *([languages] if languages else []))
+
+
+add("src_symbols", _code("symbols"))
+add("src_refs", _code("refs"))
+add("src_deps", _code("deps"))
+add("p_flow", _code("flows"))
+add("p_vars", _code("variables", "python"))
+add("p_risks_py", lambda f: _code("findings", "python")(f).where(~F.col("rule").startswith("boundary") & ~F.col("rule").isin("env-read", "env-write", "cli-option")))
+add("p_config", lambda f: _code("findings", "python")(f).where(F.col("rule").isin("env-read", "env-write", "cli-option")))
+add("p_boundaries", lambda f: _code("findings", "python")(f).where(F.col("rule").startswith("boundary")))
+
+
+def _resolved(f: Facts) -> DataFrame:
+    s = _code("symbols")(f).select(F.substring(F.sha2(F.concat_ws("|", "file_id", "kind", "qname", F.col("start_line")), 256), 1, 32).alias("sid"), "qname", "name", "kind", "decorators")
+    return resolve.resolve_references(_code("refs")(f), s)
+
+
+add("r_name", _resolved)
+add("r_dep", lambda f: resolve.resolve_dependencies(_code("deps")(f), f.files.select("file_id", "path")))
+add("snk_resolution", lambda f: resolve.changed(f.deps.select("dependency_id", "target_file_id", "status"), f.deps.select("dependency_id", F.when(F.col("confidence") == "confirmed", F.col("target_file_id")).alias("target_file_id"), "status"), "dependency_id", ["target_file_id", "status"]),
+    "SELECT dependency_id, CAST(NULL AS VARCHAR) AS target_file_id, status FROM dp WHERE confidence IS DISTINCT FROM 'confirmed' AND target_file_id IS NOT NULL", _DEP)

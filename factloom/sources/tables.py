@@ -49,9 +49,12 @@ def latest_files(files: DataFrame) -> DataFrame:
     return out.withColumn("stated", extension_language(F.col("path")))
 
 
+_SYMBOL_COLUMNS = ("file_id", "name", "qualified_name", "kind", "start_line", "end_line", "decorators", "base_classes", "is_async", "is_generator", "usr", "summary")
+
+
 def distinct_symbols(symbols: DataFrame) -> DataFrame:
     """One row per symbol id (ids compare trimmed and in lower case), with the id as ``sid``
-    and the parent's as ``pid`` (null if empty). Of conflicting rows the least non-null values count."""
-    keep = [c for c in symbols.columns if c not in ("symbol_id", "parent_symbol_id", "sid", "pid")]
+    and the parent's as ``pid`` (null if empty). Of conflicting rows the least non-null values count; columns that the table does not define are dropped."""
+    keep = [c for c in _SYMBOL_COLUMNS if c in symbols.columns]
     base = symbols.withColumn("sid", clean_id(F.col("symbol_id"))).withColumn("pid", clean_id(F.col("parent_symbol_id"))).where(F.col("sid").isNotNull())
     return base.groupBy("sid").agg(F.min("symbol_id").alias("symbol_id"), F.min("pid").alias("pid"), *[F.min(c).alias(c) for c in keep])
