@@ -75,7 +75,7 @@ def passages(text: str) -> list[str]:
     out = []
     for part in _BREAK.split(plain(text)):
         part = _PREFIX.sub("", part).strip() if part else ""
-        if len(part) > 2:
+        if part:
             out.append(unmask(part))
     return out
 
