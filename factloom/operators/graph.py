@@ -6,16 +6,109 @@ so lineage stays short and a lost executor costs one round. Distances are exact;
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.session import Scratch
 
+#: Edges up to which one task walks the whole graph: some 20 MB. Its number is counted first; larger graphs go in rounds, with equal results.
+SMALL = 200_000
+
+
+def _in_one_task(edges: DataFrame, walk, schema: str) -> DataFrame:
+    """``walk`` over all (src, dst) rows of a small table, in one task of an executor."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        pairs = [p for part in parts for p in zip(part["src"], part["dst"])]
+        yield pd.DataFrame(walk(pairs), columns=[x.split()[0] for x in schema.split(", ")])
+
+    return edges.select("src", "dst").coalesce(1).mapInPandas(run, schema)
+
+
+def _walk_bfs(pairs: list[tuple], depth: int | None) -> list[tuple]:
+    """Seeds are the pairs without a target."""
+    out, far, layer = defaultdict(list), {}, []
+    for a, b in pairs:
+        if b is None:
+            far[a] = 0
+        else:
+            out[a].append(b)
+    layer, k = list(far), 0
+    while layer and (depth is None or k < depth):
+        k += 1
+        layer = [b for b in {b for a in layer for b in out.get(a, ())} if b not in far]
+        far.update(dict.fromkeys(layer, k))
+    return list(far.items())
+
+
+def _tarjan(pairs: list[tuple]) -> dict:
+    """Each node's component as the list of its nodes, successors' components first."""
+    out = defaultdict(list)
+    for a, b in pairs:
+        out[a].append(b)
+        out[b]
+    index, low, on, stack, comps = {}, {}, set(), [], []
+    for root in list(out):
+        if root in index:
+            continue
+        work = [(root, iter(out[root]))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(out[w])))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    comp = []
+                    while True:
+                        w = stack.pop()
+                        on.discard(w)
+                        comp.append(w)
+                        if w == v:
+                            break
+                    comps.append(comp)
+    return {"out": out, "comps": comps}
+
+
+def _walk_components(pairs: list[tuple]) -> list[tuple]:
+    return [(v, max(c)) for c in _tarjan(pairs)["comps"] if len(c) > 1 for v in c]
+
+
+def _walk_layers(pairs: list[tuple]) -> list[tuple]:
+    found = _tarjan(pairs)
+    head = {v: max(c) for c in found["comps"] for v in c}
+    level: dict = {}
+    for c in found["comps"]:  # a component comes after all that it leads to
+        level[head[c[0]]] = max((level[head[w]] + 1 for v in c for w in found["out"][v] if head[w] != head[c[0]]), default=0)
+    return [(v, h, level[h]) for v, h in head.items()]
+
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None, reverse: bool = False, scratch: Scratch | None = None) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None, reverse: bool = False, scratch: Scratch | None = None, small: int = SMALL) -> DataFrame:
     """(node, distance): nodes reached from ``seeds`` (node) by at most ``depth`` edges, each at its shortest distance; seeds at 0."""
     scratch = scratch or Scratch(edges.sparkSession, "bfs")
     a, b = ("dst", "src") if reverse else ("src", "dst")
     steps = scratch.save(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
+    if steps.count() <= small:
+        starts = scratch.save(seeds.where(F.col("node").isNotNull()).select("node").distinct())
+        if starts.count() <= small:
+            pairs = steps.select(F.col("node").alias("src"), F.col("next").alias("dst")).unionByName(starts.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst")))
+            return _in_one_task(pairs, lambda p: _walk_bfs(p, depth), "node string, distance int")
     layer = scratch.save(seeds.where(F.col("node").isNotNull()).select("node").distinct().withColumn("distance", F.lit(0)))
     seen, k = [layer], 0
     while (depth is None or k < depth) and not layer.isEmpty():
@@ -91,7 +184,7 @@ def simple_paths(edges: DataFrame, source: str, target: str, depth: int) -> Data
     return _all(out)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, component): the strongly connected components of more than one node, named by their greatest node.
 
     Nodes without edges in or out are trimmed first, round by round. Then every node takes the greatest node that reaches it as its colour; the
@@ -99,6 +192,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession, "scc")
     rest = scratch.save(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+    if rest.count() <= small:
+        return _in_one_task(rest, _walk_components, "node string, component string")
     found: list[DataFrame] = []
     while True:
         rest = _trim(rest, scratch)
@@ -108,7 +203,7 @@ def components(edges: DataFrame) -> DataFrame:
         inside = rest.join(colour.select(F.col("node").alias("src"), F.col("colour")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where(F.col("colour") == F.col("c2")).select("src", "dst")
         heads = colour.where(F.col("node") == F.col("colour")).select("node")
         # within its colour, a node reaches the head exactly if it lies on a circle with it
-        back = bfs(inside, heads, reverse=True, scratch=scratch).select("node").join(colour, "node")
+        back = bfs(inside, heads, reverse=True, scratch=scratch, small=small).select("node").join(colour, "node")
         comp = scratch.save(back.select("node", F.col("colour").alias("component")))
         found.append(comp)
         gone = comp.select("node")
@@ -145,11 +240,13 @@ def _spread(edges: DataFrame, scratch: Scratch) -> DataFrame:
         colour = scratch.save(colour.join(fresh.select("node", F.col("colour").alias("better")), "node", "left").select("node", F.coalesce("better", "colour").alias("colour")))
 
 
-def layers(edges: DataFrame) -> DataFrame:
+def layers(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, component, level): sinks of the condensed graph have level 0, others one more than their highest successor."""
     scratch = Scratch(edges.sparkSession, "layers")
     edges = scratch.save(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct())
-    comp = scratch.save(components(edges))
+    if edges.count() <= small:
+        return _in_one_task(edges, _walk_layers, "node string, component string, level int")
+    comp = scratch.save(components(edges, small))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     group = scratch.save(nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     up = edges.join(group.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(group.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from factloom.operators import graph as g
 
 
@@ -14,11 +16,12 @@ def nodes(spark, *names):
 PAIRS = [("a", "b"), ("a", "b"), ("b", "c"), ("a", "d"), ("d", "c"), ("c", "e"), ("e", "c"), ("x", "x"), (None, "a"), ("e", None)]
 
 
-def test_bfs(spark):
-    got = {tuple(r) for r in g.bfs(edges(spark, PAIRS), nodes(spark, "a")).collect()}
+@pytest.mark.parametrize("small", [0, g.SMALL])
+def test_bfs(spark, small):
+    got = {tuple(r) for r in g.bfs(edges(spark, PAIRS), nodes(spark, "a"), small=small).collect()}
     assert got == {("a", 0), ("b", 1), ("d", 1), ("c", 2), ("e", 3)}
-    assert {tuple(r) for r in g.bfs(edges(spark, PAIRS), nodes(spark, "c"), 1, reverse=True).collect()} == {("c", 0), ("b", 1), ("d", 1), ("e", 1)}
-    assert g.bfs(edges(spark, []), nodes(spark)).count() == 0
+    assert {tuple(r) for r in g.bfs(edges(spark, PAIRS), nodes(spark, "c"), 1, reverse=True, small=small).collect()} == {("c", 0), ("b", 1), ("d", 1), ("e", 1)}
+    assert g.bfs(edges(spark, []), nodes(spark), small=small).count() == 0
 
 
 def test_walk_and_focus(spark):
@@ -39,7 +42,8 @@ def test_paths(spark):
     assert got == {("a > b > c", 2), ("a > d > c", 2)}
 
 
-def test_components_against_brute_force(spark):
+@pytest.mark.parametrize("small", [0, g.SMALL])
+def test_components_against_brute_force(spark, small):
     rng = random.Random(7)
     pairs = [(f"v{rng.randrange(40)}", f"v{rng.randrange(40)}") for _ in range(60)] + [("p", "q"), ("q", "p"), ("r", "r")]
     reach = {}
@@ -59,8 +63,8 @@ def test_components_against_brute_force(spark):
         c = {w for w in reach[v] if v in reach.get(w, ())} | {v}
         if len(c) > 1:
             want[v] = max(c)
-    assert dict(tuple(r) for r in g.components(edges(spark, pairs)).collect()) == want
-    level = {r.node: (r.component, r.level) for r in g.layers(edges(spark, pairs)).collect()}
+    assert dict(tuple(r) for r in g.components(edges(spark, pairs), small).collect()) == want
+    level = {r.node: (r.component, r.level) for r in g.layers(edges(spark, pairs), small).collect()}
     for a, b in pairs:
         ca, cb = level[a], level[b]
         assert ca[0] == cb[0] or ca[1] > cb[1]
