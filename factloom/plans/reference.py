@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from factloom.facts import Facts
 from factloom.functions.text import identifier_words
-from factloom.operators import graph, relational as rel, resolve, retrieval
+from factloom.operators import graph, more, relational as rel, resolve, retrieval
 from factloom.sources.code import facts_of
 from factloom.sources.tables import EXTENSION_LANGUAGE
 
@@ -336,3 +336,65 @@ add("r_name", _resolved)
 add("r_dep", lambda f: resolve.resolve_dependencies(_code("deps")(f), f.files.select("file_id", "path")))
 add("snk_resolution", lambda f: resolve.changed(f.deps.select("dependency_id", "target_file_id", "status"), f.deps.select("dependency_id", F.when(F.col("confidence") == "confirmed", F.col("target_file_id")).alias("target_file_id"), "status"), "dependency_id", ["target_file_id", "status"]),
     "SELECT dependency_id, CAST(NULL AS VARCHAR) AS target_file_id, status FROM dp WHERE confidence IS DISTINCT FROM 'confirmed' AND target_file_id IS NOT NULL", _DEP)
+
+# -- further operators ------------------------------------------------------------------------------------------------
+
+add("f_resolve_one", lambda f: more.at_line(f, "name_of", 10), "SELECT sid, qname, kind FROM b WHERE kind NOT LIKE '%declaration' OR (SELECT count(*) FROM b WHERE kind NOT LIKE '%declaration') = 0", _SYM, "b AS (SELECT * FROM syms WHERE name = 'name_of' AND 10 BETWEEN start_line AND end_line)")
+add("f_suggest", lambda f: more.suggest(f, "clip_lattise"),
+    "SELECT name, round(1 - levenshtein(name, 'clip_lattise') / greatest(length(name), 12), 6) AS similarity FROM (SELECT DISTINCT name FROM syms WHERE name IS NOT NULL) WHERE round(1 - levenshtein(name, 'clip_lattise') / greatest(length(name), 12), 6) >= 0.6 ORDER BY 2 DESC, 1 LIMIT 3", _SYM)
+_NORM = """CASE WHEN regexp_matches(w, '(ss|us|is)$') THEN w WHEN w LIKE '%ies' AND length(w) >= 6 THEN w[:-4] || 'y' WHEN w LIKE '%ied' AND length(w) >= 6 THEN w[:-4] || 'y' WHEN w LIKE '%sses' AND length(w) >= 7 THEN w[:-3]
+  WHEN w LIKE '%ing' AND length(w) >= 7 THEN w[:-4] WHEN w LIKE '%ed' AND length(w) >= 6 THEN w[:-3] WHEN w LIKE '%es' AND length(w) >= 6 THEN w[:-3] WHEN w LIKE '%s' AND length(w) >= 4 THEN w[:-2] ELSE w END"""
+_STOP = ", ".join(f"'{w}'" for w in more.STOP_WORDS)
+_WORDS = f"wd AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(summary), '[a-z0-9]+')) AS w FROM syms) WHERE length(w) >= 2 AND w NOT IN ({_STOP}))"
+add("s_terms", lambda f: f.symbols.select("sid", F.explode(more.terms(F.col("summary"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")),
+    f"SELECT w AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(summary), '[a-z0-9]+')) AS w FROM syms) WHERE length(w) >= 2 AND w NOT IN ({_STOP}) GROUP BY w", _SYM)
+add("s_normalize", lambda f: f.symbols.select(F.explode(F.array_distinct(more.terms(F.col("summary")))).alias("word")).distinct().select("word", more.normalize(F.col("word")).alias("stem")), f"SELECT w AS word, {_NORM} AS stem FROM wd", _SYM, _WORDS)
+_ROLE = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in more.ROLES.items())
+add("s_role", lambda f: f.files.where(F.col("path").isNotNull()).select("file_id", more.role(F.col("path")).alias("role")),
+    f"SELECT file_id, list_filter(list_transform(list_reverse(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1)), lambda x: CASE x {_ROLE} END), lambda r: r IS NOT NULL)[1] AS role FROM files WHERE path IS NOT NULL", _FILES)
+_CD = lambda d: f"count(DISTINCT CASE WHEN len(string_split(path, '/')) < 2 THEN '(root)' ELSE array_to_string(list_slice(string_split(path, '/'), 1, least({d}, len(string_split(path, '/')) - 1)), '/') END)"
+add("s_auto_depth", more.auto_depth, "SELECT CASE " + " ".join(f"WHEN {_CD(d)} >= 5 THEN {d}" for d in range(1, 6)) + " ELSE 5 END AS depth FROM files WHERE path IS NOT NULL", _FILES)
+add("s_mentions", lambda f: f.raw("documents").where(more.mentions(F.col("text"), "LATTICE")).select("doc_id"), "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])LATTICE($|[^A-Za-z0-9_])')")
+add("s_marker", lambda f: rel.grep(f, r"(//|#|;).*\b(TODO|FIXME|XXX|HACK)\b", True).select("file_id", "line"), r"SELECT file_id, CAST(line AS INT) AS line FROM lines WHERE regexp_matches(text, '(?i)(//|#|;).*\b(TODO|FIXME|XXX|HACK)\b')", _FILES, _LINES)
+add("a_df", lambda f: f.symbols.select("sid", F.explode(F.array_distinct(more.terms(F.col("summary")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")),
+    f"SELECT w AS term, count(*) AS df FROM (SELECT DISTINCT sid, w FROM (SELECT sid, unnest(regexp_extract_all(lower(summary), '[a-z0-9]+')) AS w FROM syms) WHERE length(w) >= 2 AND w NOT IN ({_STOP})) GROUP BY w", _SYM)
+add("a_env_used", more.externals_used, "SELECT string_split_regex(tname, '[./]')[1] AS name, count(*) AS n_imports, count(DISTINCT file_id) AS n_files FROM dp WHERE status = 'external' AND length(tname) > 0 GROUP BY 1", _DEP)
+add("x_decl_used", lambda f: more.declared_and_used(more.externals_used(f), f.raw("library_symbols").select(F.col("library").alias("name"))),
+    "SELECT name, 'undeclared' AS state FROM (SELECT name FROM u EXCEPT SELECT name FROM d) UNION ALL SELECT name, 'unused_declared' FROM (SELECT name FROM d EXCEPT SELECT name FROM u)",
+    _DEP, "u AS (SELECT DISTINCT replace(lower(string_split_regex(tname, '[./]')[1]), '_', '-') AS name FROM dp WHERE status = 'external' AND length(tname) > 0)", "d AS (SELECT DISTINCT replace(lower(library), '_', '-') AS name FROM library_symbols)")
+add("a_effect_unres", lambda f: f.refs_of("src", "kind", "status").where((F.col("kind") == "call") & F.col("status").isin("unresolved", "ambiguous")).join(graph.bfs(f.calls().select("src", "dst"), _seed_symbols(f, "src"), 3).select(F.col("node").alias("src")), "src", "left_semi").groupBy("status").agg(F.count_distinct("reference_id").alias("n")),
+    "SELECT status, count(DISTINCT reference_id) AS n FROM rf WHERE kind = 'call' AND status IN ('unresolved', 'ambiguous') AND src IN (SELECT node FROM reach) GROUP BY status", _SYM, _REF, _CALLS, _SEED_SRC, _reach("calls", "src", "dst", 3), recursive=True)
+add("j_calls_by_line", lambda f: f.refs_of("src", "kind", "start_line").where(F.col("kind") == "call").groupBy("src", "start_line").agg(F.count(F.lit(1)).alias("n_calls")), "SELECT src, start_line, count(*) AS n_calls FROM rf WHERE kind = 'call' GROUP BY ALL", _REF)
+add("o_ref_order", lambda f: f.refs_of("file_id", "start_line", "tname").orderBy("file_id", "start_line", "tname", "reference_id").limit(100), "SELECT reference_id, file_id, start_line, tname FROM rf ORDER BY file_id, start_line, tname NULLS FIRST, reference_id LIMIT 100", _REF)
+add("g_call", more.call_graph,
+    "SELECT src, CASE WHEN status = 'resolved' AND dst IS NOT NULL THEN dst WHEN status = 'external' THEN 'external:' || coalesce(tname, '') ELSE 'open:' || coalesce(src, '') || ':' || coalesce(tname, '') END AS dst, CASE WHEN status <> 'resolved' THEN status ELSE confidence END AS style, count(*) AS n FROM rf WHERE kind = 'call' GROUP BY ALL", _REF)
+_PARENT = f"SELECT r.node, r.distance, (SELECT min(c.src) FROM calls c JOIN ({_NEAREST}) p ON c.src = p.node AND p.distance = r.distance - 1 WHERE c.dst = r.node) AS parent FROM ({_NEAREST}) r"
+add("w_first_seen", lambda f: more.first_parents(f.calls().select("src", "dst").distinct(), _seed_symbols(f, "src"), 4), _PARENT, _SYM, _REF, _CALLS, _SEED_SRC, _reach("calls", "src", "dst", 4), recursive=True)
+add("g_extract", lambda f: more.extracted(f.calls().select("src", "dst").distinct(), _seed_symbols(f, "src")),
+    f"SELECT *, CAST(row_number() OVER (ORDER BY distance, node) AS INT) AS rank, (SELECT count(DISTINCT node) FROM reach) > 30 AS truncated FROM ({_PARENT}) ORDER BY distance, node LIMIT 30", _SYM, _REF, _CALLS, _SEED_SRC, _reach("calls", "src", "dst", 5), recursive=True)
+add("g_bases_closure", more.base_names, "SELECT name, base, CAST(min(d) AS INT) AS distance FROM cl GROUP BY 1, 2", _SYM,
+    "bs AS (SELECT DISTINCT name, unnest(base_classes) AS base FROM syms WHERE kind IN ('class', 'struct') AND name IS NOT NULL)", "cl AS (SELECT name, base, 1 AS d FROM bs UNION SELECT c.name, b.base, d + 1 FROM cl c JOIN bs b ON c.base = b.name WHERE d < 10)", recursive=True)
+add("u_show", lambda f: more.shown(f, f.symbols.where(F.col("name") == "name_of").select("sid")),
+    "SELECT sid, CAST(line AS INT) AS line, regexp_replace(x[line], chr(13) || '$', '') AS text, line BETWEEN start_line AND end_line AS inside FROM (SELECT sid, start_line, end_line, x, unnest(range(greatest(start_line - 2, 1), least(end_line + 2, len(x)) + 1)) AS line FROM (SELECT sid, start_line, end_line, string_split(content, chr(10)) AS x FROM syms JOIN source_texts USING (file_id) WHERE name = 'name_of' AND content IS NOT NULL))", _SYM)
+_FRESH = "fr AS (SELECT f.file_id, f.project_id, f.path, n_lines, CASE WHEN content_hash IS NULL THEN 'unanalyzed' WHEN h IS NULL THEN 'missing' WHEN h = content_hash THEN 'fresh' ELSE 'stale' END AS state FROM files f LEFT JOIN (SELECT file_id, max(sha256(content)) AS h, max(len(string_split(content, chr(10)))) AS n_lines FROM source_texts GROUP BY 1) t USING (file_id))"
+add("c_validate", more.citations,
+    """SELECT doc_id, c.path, c.a AS start, c.b AS "end", CASE WHEN k.state IS NULL THEN 'not_found' WHEN k.state = 'stale' THEN 'stale' WHEN c.a < 1 OR c.b < c.a OR c.b > coalesce(n_lines, 0) OR c.a IS NULL OR c.b IS NULL THEN 'out_of_range' ELSE 'verified' END AS status
+    FROM c LEFT JOIN (SELECT project_id, path, max(state) AS state, max(n_lines) AS n_lines FROM fr GROUP BY 1, 2) k ON c.project_id = k.project_id AND c.path = k.path""",
+    _FILES, _FRESH, r"c AS (SELECT DISTINCT doc_id, project_id, regexp_extract(c, '^(.*):', 1) AS path, TRY_CAST(regexp_extract(c, ':(\d+)', 1) AS INT) AS a, TRY_CAST(coalesce(nullif(regexp_extract(c, '-(\d+)$', 1), ''), regexp_extract(c, ':(\d+)', 1)) AS INT) AS b FROM (SELECT doc_id, project_id, unnest(regexp_extract_all(text, '\[([\w./-]+:\d+(?:-\d+)?)\]', 1)) AS c FROM documents))")
+_MENTION = "mn AS (SELECT doc_id, k, unnest(regexp_extract_all(line, '`([A-Za-z_]\\w{3,})`', 1)) AS name FROM (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)))"
+add("u_doc_mentions", more.doc_mentions,
+    "SELECT name, doc_id, CAST(line AS INT) AS line FROM (SELECT name, doc_id, min(k) AS line, row_number() OVER (PARTITION BY name ORDER BY doc_id) AS r FROM mn WHERE name IN (SELECT name FROM syms WHERE kind IN ('function', 'method', 'class', 'struct')) GROUP BY 1, 2) WHERE r <= 5", _SYM, _MENTION)
+add("c_infer_edges", more.inferred_edges,
+    "SELECT a, b, count(*) AS n FROM (SELECT sid AS a, lead(sid) OVER (PARTITION BY doc_id, k ORDER BY sid) AS b FROM (SELECT DISTINCT doc_id, k, sid FROM mn JOIN (SELECT name, min(sid) AS sid FROM syms WHERE kind IN ('function', 'method', 'class', 'struct') GROUP BY 1 HAVING count(*) = 1) USING (name))) WHERE b IS NOT NULL GROUP BY 1, 2", _SYM, _MENTION)
+
+
+def _expected(f: Facts) -> DataFrame:
+    """For each question, the definitions whose summary holds one of its words as written."""
+    wanted = f.spark.createDataFrame([(1, "ledger"), (2, "lattice"), (3, "heartbeat")], "qid int, word string")
+    s = f.symbols.where(F.col("kind").isin("function", "method", "class", "struct")).select(F.col("sid").alias("doc"), F.explode(F.array_distinct(more.terms(F.col("summary")))).alias("word"))
+    return s.join(wanted, "word").select("qid", "doc")
+
+
+add("t_eval", lambda f: more.evaluation(_ranked(f, None), _expected(f)),
+    "SELECT count(*) AS n, round(avg(CASE WHEN r <= 4 THEN 1 ELSE 0 END), 6) AS recall, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM (SELECT DISTINCT qid FROM ex) LEFT JOIN (SELECT qid, min(r) AS r FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS r FROM sc) JOIN ex USING (qid, doc) GROUP BY 1) USING (qid)",
+    *_BM, "ex AS (SELECT DISTINCT qid, sid AS doc FROM (SELECT sid, unnest(regexp_extract_all(lower(summary), '[a-z0-9]+')) AS word FROM syms WHERE kind IN ('function', 'method', 'class', 'struct')) JOIN (VALUES (1, 'ledger'), (2, 'lattice'), (3, 'heartbeat')) v(qid, word) USING (word))")
