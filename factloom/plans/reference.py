@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from factloom.facts import Facts
 from factloom.functions.text import identifier_words
-from factloom.operators import graph, more, relational as rel, resolve, retrieval
+from factloom.operators import functions, graph, more, relational as rel, resolve, retrieval
 from factloom.sources.code import facts_of
 from factloom.sources.tables import EXTENSION_LANGUAGE
 
@@ -398,3 +398,22 @@ def _expected(f: Facts) -> DataFrame:
 add("t_eval", lambda f: more.evaluation(_ranked(f, None), _expected(f)),
     "SELECT count(*) AS n, round(avg(CASE WHEN r <= 4 THEN 1 ELSE 0 END), 6) AS recall, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM (SELECT DISTINCT qid FROM ex) LEFT JOIN (SELECT qid, min(r) AS r FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS r FROM sc) JOIN ex USING (qid, doc) GROUP BY 1) USING (qid)",
     *_BM, "ex AS (SELECT DISTINCT qid, sid AS doc FROM (SELECT sid, unnest(regexp_extract_all(lower(summary), '[a-z0-9]+')) AS word FROM syms WHERE kind IN ('function', 'method', 'class', 'struct')) JOIN (VALUES (1, 'ledger'), (2, 'lattice'), (3, 'heartbeat')) v(qid, word) USING (word))")
+
+# -- analyses across functions: no SQL, tested on small sources --------------------------------------------------------------
+
+add("p_class_state", _code("states", "python"))
+add("g_cfg_py", _code("blocks", "python"))
+add("p_exceptions", lambda f: functions.exception_flow(_code("exceptions", "python")(f), _code("refs", "python")(f).where(F.col("kind") == "call").select("source", "target", "line")))
+add("p_trace", lambda f: functions.trace(_code("variables", "python")(f), _seed_values(f), 4))
+add("p_upstream", lambda f: functions.trace(_code("variables", "python")(f), _seed_values(f), 4, True))
+add("p_fields", lambda f: functions.field_uses(_code("fields", "c", "cpp", "go")(f)))
+add("p_macros", lambda f: functions.macro_uses(_code("macros", "c", "cpp")(f), _code("refs", "c", "cpp")(f)))
+add("p_risks_c", _code("findings", "c", "cpp", "go"))
+add("p_risks_el", _code("findings", "elisp"))
+
+
+def _seed_values(f: Facts) -> DataFrame:
+    """The first parameters, self and cls aside, of all functions."""
+    v = _code("variables", "python")(f)
+    p = v.where((F.col("what") == "def") & (F.col("how") == "param") & ~F.col("name").isin("self", "cls") & F.col("to").isin("0", "1"))
+    return p.groupBy("qname").agg(F.min_by("name", "to").alias("name")).select(F.concat_ws(":", "qname", "name").alias("node"))

@@ -19,6 +19,15 @@ _IMPORT_GO = re.compile(r"(?m)^import\s+(?:\w+\s+)?\"([^\"]+)\"|^\s+(?:\w+\s+)?\
 _DECISION = re.compile(r"\b(?:if|for|while|case|catch|select)\b|&&|\|\||\?")
 #: Words before a parenthesis that are no calls.
 _NO_CALL = frozenset("if for while switch return sizeof catch func defer go select case defined static_assert alignof decltype new delete throw".split())
+_FIELD = re.compile(r"(?:->|(?<=[\w\])])\.)\s*([A-Za-z_]\w*)\b(?!\s*\()(\s*(?:[-+*/|&^%]|<<|>>)?=(?!=)|\s*(?:\+\+|--))?")
+_DEFINE = re.compile(r"(?m)^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)(\([^)]*\))?[ \t]*([^\n]*)")
+#: Calls that a review should look at, by language family.
+RISKY = {
+    "c": {"unsafe-libc": "strcpy strcat sprintf vsprintf gets scanf strtok", "command-exec": "system popen execl execlp execv execvp"},
+    "elisp": {"command-exec": "shell-command call-process start-process async-shell-command", "blocking-call": "sit-for sleep-for read-string y-or-n-p url-retrieve-synchronously", "eval": "eval load"},
+    "go": {"command-exec": "exec.Command", "panic": "panic", "exit": "os.Exit log.Fatal"},
+}
+_RISK_OF = {lang: {name: rule for rule, names in rules.items() for name in names.split()} for lang, rules in RISKY.items()}
 _EL_DEF = re.compile(r"\((defun|defsubst|defmacro|cl-defun|cl-defmethod|cl-defgeneric|defvar|defconst|defcustom|define-minor-mode)\s+'?([^\s()]+)")
 _EL_CALL = re.compile(r"\(([A-Za-z][^\s()\"';]*)")
 _EL_REQUIRE = re.compile(r"\(require\s+'([^\s()]+)")
@@ -45,7 +54,7 @@ def extract(text: str, path: str, lang: str) -> dict[str, list[dict]]:
     text = text.replace("\r\n", "\n").lstrip("﻿")
     code = blank(text, lang)
     line_of = _Lines(text)
-    out: dict[str, list[dict]] = {"symbols": [], "refs": [], "deps": [], "flows": []}
+    out: dict[str, list[dict]] = {"symbols": [], "refs": [], "deps": [], "flows": [], "fields": [], "macros": [], "findings": []}
     spans: list[tuple[int, int, str]] = []
 
     def symbol(kind: str, name: str, a: int, b: int, parent: str = "") -> None:
@@ -100,6 +109,14 @@ def extract(text: str, path: str, lang: str) -> dict[str, list[dict]]:
             name = m.group(1)
             if name not in _NO_CALL:
                 out["refs"].append({"source": q, "kind": "call", "target": name, "line": line_of(m.start()), "note": ""})
+                if rule := _RISK_OF["c" if lang in ("c", "cpp") else lang].get(name):
+                    out["findings"].append({"qname": q, "rule": rule, "level": "medium", "line": line_of(m.start()), "detail": name})
+        if lang in ("c", "cpp", "go"):
+            for m in _FIELD.finditer(code, head, b):
+                out["fields"].append({"qname": q, "name": m.group(1), "access": "write" if m.group(2) else "read", "line": line_of(m.start())})
+    if lang in ("c", "cpp"):
+        for m in _DEFINE.finditer(code):
+            out["macros"].append({"name": m.group(1), "has_parameters": bool(m.group(2)), "body": text[m.start(3) : m.end(3)].strip()[:200], "line": line_of(m.start())})
     return out
 
 

@@ -17,6 +17,11 @@ _SCHEMAS = {
     "flows": "file_id string, qname string, line int, branches int, loops int, try_blocks int, handlers int, swallowed int, reraises int, logs int, raises int, returns int, awaits int, yields int, with_blocks int, cyclomatic int, max_depth int, lines int",
     "variables": "file_id string, qname string, what string, name string, how string, line int, to string",
     "findings": "file_id string, qname string, rule string, level string, line int, detail string",
+    "states": "file_id string, qname string, owner string, name string, access string, line int",
+    "exceptions": "file_id string, qname string, what string, name string, line int, end_line int, caught boolean",
+    "blocks": "file_id string, qname string, block int, start_line int, end_line int, to int, label string",
+    "fields": "file_id string, qname string, name string, access string, line int",
+    "macros": "file_id string, name string, has_parameters boolean, body string, line int",
 }
 _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
@@ -31,7 +36,7 @@ def _run(batches: Iterator[pa.RecordBatch], what: str) -> Iterator[pa.RecordBatc
         rows = []
         for i, path, lang, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
             if lang == "python":
-                found = getattr(python_source.extract(text, path or ""), what)
+                found = getattr(python_source.extract(text, path or ""), what, [])
             else:
                 found = brace_source.extract(text, path or "", lang).get(what, [])
             rows += [{"file_id": i, **r} for r in found]

@@ -31,6 +31,9 @@ class Facts:
     flows: list[dict] = field(default_factory=list)
     variables: list[dict] = field(default_factory=list)
     findings: list[dict] = field(default_factory=list)
+    states: list[dict] = field(default_factory=list)
+    exceptions: list[dict] = field(default_factory=list)
+    blocks: list[dict] = field(default_factory=list)
     error: str | None = None
 
 
@@ -123,6 +126,9 @@ class _Walker(ast.NodeVisitor):
         self.out.flows.append({"qname": q, "line": node.lineno, **metrics(node, own)})
         self.out.variables += variables(node, q, own)
         self.out.findings += risks(node, q, own)
+        self.out.states += states(node, q, own, self.scope[-1][1] if kind == "method" else "", self.module)
+        self.out.exceptions += exceptions(node, q)
+        self.out.blocks += blocks(node, q)
         self.scope.append(("function", q))
         for x in node.body:
             self.visit(x)
@@ -200,8 +206,8 @@ def variables(node, qname: str, own: list[ast.AST]) -> list[dict]:
     """Definitions, uses and flows of the variables of one function; flow-insensitive."""
     out = []
     add = lambda what, name, how, line, to="": out.append({"qname": qname, "what": what, "name": name, "how": how, "line": line, "to": to})
-    for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs, *filter(None, [node.args.vararg, node.args.kwarg])]:
-        add("def", a.arg, "param", a.lineno)
+    for k, a in enumerate([*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs, *filter(None, [node.args.vararg, node.args.kwarg])]):
+        add("def", a.arg, "param", a.lineno, str(k))
     read = lambda e: sorted({x.id for x in ast.walk(e) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load)}) if e is not None else []
     names = lambda t: [x.id for x in ast.walk(t) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store)]
     for x in own:
@@ -288,6 +294,127 @@ def risks(node, qname: str, own: list[ast.AST]) -> list[dict]:
     return out
 
 
+_MUTATORS = frozenset("append extend insert pop remove clear update add discard setdefault sort reverse popitem".split())
+
+
+def states(node, qname: str, own: list[ast.AST], owner: str, module: str) -> list[dict]:
+    """What a function writes, mutates and reads of its object (self.x) and of its module (global names)."""
+    out = []
+    add = lambda scope, name, access, line: out.append({"qname": qname, "owner": scope, "name": name, "access": access, "line": line})
+    shared = {n for x in own if isinstance(x, ast.Global) for n in x.names}
+    mutated = {id(x.func.value): x.func.attr for x in own if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr in _MUTATORS}
+    mutated |= {id(x.value): "[]" for x in own if isinstance(x, ast.Subscript) and isinstance(x.ctx, (ast.Store, ast.Del))}
+    for x in own:
+        if owner and isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id == "self":
+            add(owner, x.attr, "write" if isinstance(x.ctx, (ast.Store, ast.Del)) else "mutate" if id(x) in mutated else "read", x.lineno)
+        elif isinstance(x, ast.Name) and x.id in shared:
+            add(module, x.id, "write" if isinstance(x.ctx, (ast.Store, ast.Del)) else "mutate" if id(x) in mutated else "read", x.lineno)
+    return out
+
+
+def exceptions(node, qname: str) -> list[dict]:
+    """raise rows with whether the function catches them itself, and guard rows: line ranges of try bodies with what they catch.
+
+    A raise in a handler, an else or a finally is not protected by its own try.
+    """
+    out = []
+
+    def caught(h: ast.ExceptHandler) -> list[str]:
+        kinds = h.type.elts if isinstance(h.type, ast.Tuple) else [h.type]
+        return [(dotted(k) or "?").rpartition(".")[2] if k is not None else "*" for k in kinds]
+
+    def walk(body: list[ast.stmt], guards: list[list[str]]) -> None:
+        for x in body:
+            if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                continue
+            if isinstance(x, ast.Raise):
+                name = dotted(x.exc.func if isinstance(x.exc, ast.Call) else x.exc) if x.exc is not None else None
+                name = (name or "?").rpartition(".")[2]
+                own = any(c in (name, "*", "Exception", "BaseException") for g in guards for c in g)
+                out.append({"qname": qname, "what": "raise", "name": name, "line": x.lineno, "end_line": x.lineno, "caught": own})
+            if isinstance(x, ast.Try):
+                names = [c for h in x.handlers for c in caught(h)]
+                for c in names:
+                    out.append({"qname": qname, "what": "guard", "name": c, "line": x.lineno, "end_line": x.body[-1].end_lineno or x.lineno, "caught": True})
+                walk(x.body, [*guards, names])
+                for part in (*[h.body for h in x.handlers], x.orelse, x.finalbody):
+                    walk(part, guards)
+            else:
+                for part in ("body", "orelse"):
+                    walk(getattr(x, part, []) or [], guards)
+                for c in getattr(x, "cases", []):
+                    walk(c.body, guards)
+
+    walk(node.body, [])
+    return out
+
+
+def blocks(node, qname: str) -> list[dict]:
+    """The control-flow graph of a function: rows (block, start_line, end_line, to, label); block 0 enters, -1 is the exit."""
+    rows: list[list] = []
+    new = lambda line: (rows.append([line, line, []]), len(rows) - 1)[1]
+
+    def seq(body: list[ast.stmt], at: int, loop: tuple | None) -> int | None:
+        """The open block after the statements from block ``at``; None if none continues."""
+        cur: int | None = at
+        for x in body:
+            if cur is None:
+                cur = new(x.lineno)  # unreachable
+            rows[cur][1] = max(rows[cur][1], x.lineno)
+            link = lambda a, b, label="": rows[a][2].append((b, label))
+            if isinstance(x, ast.If):
+                after = new(x.end_lineno or x.lineno)
+                for part, label in ((x.body, "true"), (x.orelse, "false")):
+                    if part:
+                        b = new(part[0].lineno)
+                        link(cur, b, label)
+                        end = seq(part, b, loop)
+                        if end is not None:
+                            link(end, after)
+                    else:
+                        link(cur, after, label)
+                cur = after
+            elif isinstance(x, (ast.For, ast.AsyncFor, ast.While)):
+                head, after = new(x.lineno), new(x.end_lineno or x.lineno)
+                link(cur, head)
+                b = new(x.body[0].lineno)
+                link(head, b, "loop")
+                link(head, after, "end")
+                end = seq(x.body, b, (head, after))
+                if end is not None:
+                    link(end, head, "back")
+                cur = seq(x.orelse, after, loop) if x.orelse else after
+            elif isinstance(x, ast.Try):
+                after, b = new(x.end_lineno or x.lineno), new(x.body[0].lineno)
+                link(cur, b)
+                end = seq([*x.body, *x.orelse], b, loop)
+                if end is not None:
+                    link(end, after)
+                for h in x.handlers:
+                    e = new(h.lineno)
+                    link(b, e, "except")
+                    end = seq(h.body, e, loop)
+                    if end is not None:
+                        link(end, after)
+                cur = seq(x.finalbody, after, loop) if x.finalbody else after
+            elif isinstance(x, (ast.With, ast.AsyncWith)):
+                cur = seq(x.body, cur, loop)
+            elif isinstance(x, (ast.Return, ast.Raise)):
+                link(cur, -1, "return" if isinstance(x, ast.Return) else "raise")
+                cur = None
+            elif isinstance(x, (ast.Break, ast.Continue)) and loop:
+                link(cur, loop[1 if isinstance(x, ast.Break) else 0], "break" if isinstance(x, ast.Break) else "continue")
+                cur = None
+            else:
+                rows[cur][1] = max(rows[cur][1], x.end_lineno or x.lineno)
+        return cur
+
+    end = seq(node.body, new(node.lineno), None)
+    if end is not None:
+        rows[end][2].append((-1, "end"))
+    return [{"qname": qname, "block": k, "start_line": a, "end_line": b, "to": t, "label": label} for k, (a, b, to) in enumerate(rows) for t, label in (to or [(-2, "none")])]
+
+
 def _literal(args) -> str:
     return next((str(a.value) for a in args if isinstance(a, ast.Constant)), "")
 

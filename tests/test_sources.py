@@ -137,3 +137,64 @@ def test_gcov_and_git(spark):
     assert {tuple(r) for r in reports.gcov(lines).collect()} == {("x.c", 3, 5), ("x.c", 4, 0)}
     log = spark.createDataFrame([("\x01h1\x02Ann\x022024-01-01\n\na.py\nb.py\n\x01h2\x02Bo\x022024-01-02\n\na.py\n",)], "text string")
     assert {tuple(r) for r in reports.git_log(log).collect()} == {("h1", "Ann", "2024-01-01", "a.py"), ("h1", "Ann", "2024-01-01", "b.py"), ("h2", "Bo", "2024-01-02", "a.py")}
+
+FLOW = '''import m
+COUNT = 0
+class A:
+    def put(self, row, n=1):
+        self.rows.append(row)
+        self.size = n
+        return self.size
+    def many(self, rows):
+        for r in rows:
+            if not r:
+                continue
+            self.put(r, 2)
+        return None
+def low(x):
+    raise KeyError(x)
+def mid(y):
+    z = y
+    try:
+        low(z)
+    except ValueError:
+        raise RuntimeError("no")
+def safe(w):
+    try:
+        mid(w)
+    except (KeyError, RuntimeError):
+        pass
+def bump():
+    global COUNT
+    COUNT = COUNT + 1
+'''
+
+
+def test_states_blocks_and_exceptions():
+    f = python_source.extract(FLOW, "m.py")
+    assert {(s["qname"], s["name"], s["access"]) for s in f.states} >= {("m.A.put", "rows", "mutate"), ("m.A.put", "size", "write"), ("m.A.put", "size", "read"), ("m.bump", "COUNT", "write"), ("m.bump", "COUNT", "read")}
+    edges = {(b["block"], b["to"], b["label"]) for b in f.blocks if b["qname"] == "m.A.many"}
+    assert {x[2] for x in edges} >= {"loop", "end", "back", "true", "false", "continue", "return"} and not any(x[1] == -2 for x in edges)
+    assert {(e["qname"], e["what"], e["name"], e["caught"]) for e in f.exceptions} >= {("m.low", "raise", "KeyError", False), ("m.mid", "guard", "ValueError", True), ("m.mid", "raise", "RuntimeError", False)}
+
+
+def test_exception_flow_and_traces(spark):
+    from factloom.operators import functions
+
+    f = python_source.extract(FLOW, "m.py")
+    exc = spark.createDataFrame([tuple(e[k] for k in ("qname", "what", "name", "line", "end_line", "caught")) for e in f.exceptions], "qname string, what string, name string, line int, end_line int, caught boolean")
+    calls = spark.createDataFrame([(r["source"], r["target"], r["line"]) for r in f.refs if r["kind"] == "call"], "source string, target string, line int")
+    got = {(r.qname, r.exception, r.origin, r.distance) for r in functions.exception_flow(exc, calls).collect()}
+    assert got == {("m.low", "KeyError", "m.low", 0), ("m.mid", "RuntimeError", "m.mid", 0), ("m.mid", "KeyError", "m.low", 1)}
+    v = spark.createDataFrame([tuple(x[k] for k in ("qname", "what", "name", "how", "line", "to")) for x in f.variables], "qname string, what string, name string, how string, line int, to string")
+    seeds = spark.createDataFrame([("m.safe:w",)], "node string")
+    assert {tuple(r) for r in functions.trace(v, seeds, 5).collect()} == {("m.safe:w", 0), ("m.mid:y", 1), ("m.mid:z", 2), ("m.low:x", 3)}
+    back = {r.node for r in functions.trace(v, spark.createDataFrame([("m.A.put:row",)], "node string"), 3, True).collect()}
+    assert back == {"m.A.put:row", "m.A.many:r", "m.A.many:rows"}
+
+
+def test_fields_macros_and_risks():
+    c = brace_source.extract("#define N(x) ((x) + 1)\n#define M 2\nint f(struct s *p)\n{\n  p->a = p->b + q.c;\n  p->n++;\n  if (p->d == 1) strcpy(x, y);\n  return g(p->e());\n}\n", "x.c", "c")
+    assert {(x["name"], x["access"]) for x in c["fields"]} == {("a", "write"), ("b", "read"), ("c", "read"), ("n", "write"), ("d", "read")}
+    assert [(m["name"], m["has_parameters"], m["body"]) for m in c["macros"]] == [("N", True, "((x) + 1)"), ("M", False, "2")]
+    assert [(x["rule"], x["detail"]) for x in c["findings"]] == [("unsafe-libc", "strcpy")]
