@@ -27,16 +27,15 @@ FEATURES = [
     "digit_share", "literal_share", "same_shape", "top_shape", "indent_share", "blank_share", "symbol_share", "data_share", "size",
 ]
 
-_TOKEN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|[^\w\s]")
+_TOKEN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|#x[0-9A-Fa-f]+|[^\w\s]")
 _IDENT = re.compile(r"[A-Za-z_]\w*")
 _NUMBER = re.compile(r"\d+")
-_WORDS = re.compile(r"\w+")
 _COMMENT = {
     "hash": re.compile(r"(?m)^[ \t]*#(?!include|define|if|endif|else|elif|undef|pragma|line|error)[^\n]*|^[ \t]*[rRuU]?(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})"),
-    "semi": re.compile(r"(?m);[^\n]*"),
+    "semi": re.compile(r"\"(?:\\[\s\S]|[^\"\\])*\"|;[^\n]*"),
     "slash": re.compile(r"//[^\n]*|/\*[\s\S]*?\*/"),
 }
-_LITERAL = re.compile(r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`|\b\d[\w.]*")
+_LITERAL = re.compile(r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`")
 _HEAD_LINE = re.compile(r"^\s*(?:#(?!include|define|if|endif|pragma|line\b)|//|;|/?\*|\*/|<!--|\"{3}|'{3}|$)")
 
 #: Lines at either end of a file in which a notice counts.
@@ -70,48 +69,55 @@ def _looks_like_data(literal: str) -> bool:
     return "\n" in body and sum(c.isdigit() for c in body) >= 0.2 * len(body)
 
 
-def features(lines: list[str], kind: str) -> list[float]:
-    """The values of FEATURES for the lines of a file without its notices."""
+def code_of(lines: list[str], kind: str) -> tuple[str, list[str]]:
+    """The text of lines without comments, and its tokens."""
+    text = "\n".join(lines)
+    code = _COMMENT[kind].sub((lambda m: m.group() if m.group()[0] == '"' else " ") if kind == "semi" else " ", text)
+    return code, _TOKEN.findall(code)
+
+
+def features(lines: list[str], code: str, tokens: list[str]) -> list[float]:
+    """The values of FEATURES for the lines of a file without its notices; code and tokens are theirs without comments."""
     text = "\n".join(lines)
     n = max(1, len(text))
-    tokens = _TOKEN.findall(text)
     m = max(1, len(tokens))
     counts = Counter(tokens)
     entropy = -sum(c / m * math.log2(c / m) for c in counts.values())
-    idents = [t for t in counts if t[0].isalpha() or t[0] == "_"]
-    weights = [counts[t] for t in idents]
-    total = max(1, sum(weights))
-    mean = sum(len(t) * w for t, w in zip(idents, weights)) / total
-    var = sum(w * (len(t) - mean) ** 2 for t, w in zip(idents, weights)) / total
+    idents = [(len(t), c) for t, c in counts.items() if t[0].isalpha() or t[0] == "_"]
+    total = max(1, sum(c for _, c in idents))
+    mean = sum(k * c for k, c in idents) / total
+    var = sum(c * (k - mean) ** 2 for k, c in idents) / total
+    digits = [(len(t), c) for t, c in counts.items() if t[0].isdigit() or t[:2] == "#x"]
+    numbers = sum(k * c for k, c in digits)
+    symbols = m - total - sum(c for _, c in digits)
     raw = text.encode("utf-8", "replace")
     full = [x for x in lines if x.strip()]
     k = max(1, len(full))
     lengths = [len(x) for x in full] or [0]
     line_mean = sum(lengths) / k
-    shapes = Counter(_NUMBER.sub("9", _IDENT.sub("a", x.strip()))[:60] for x in full)
-    comment = sum(len(x) for x in _COMMENT[kind].findall(text))
-    literals = _LITERAL.findall(_COMMENT[kind].sub(" ", text) if comment else text)
-    literal = sum(map(len, literals))
-    data = sum(len(x) for x in literals if x[0].isdigit() or _looks_like_data(x))
+    shapes = Counter(x.strip()[:60] for x in _NUMBER.sub("9", _IDENT.sub("a", "\n".join(full))).split("\n"))
+    strings = _LITERAL.findall(code)
+    data = [x for x in strings if _looks_like_data(x)]
+    outside = numbers - sum(map(len, _NUMBER.findall("\n".join(strings))))
     return [
         len(zlib.compress(raw, 1)) / max(1, len(raw)),
         entropy,
         mean,
         math.sqrt(var),
-        sum(w for t, w in zip(idents, weights) if len(t) <= 2) / total,
+        sum(c for j, c in idents if j <= 2) / total,
         len(idents) / total,
-        comment / n,
+        1 - sum(map(len, code.split())) / max(1, sum(map(len, text.split()))),
         math.log1p(line_mean),
         math.log1p(math.sqrt(sum((x - line_mean) ** 2 for x in lengths) / k)),
         math.log1p(max(lengths)),
-        sum(map(len, _NUMBER.findall(text))) / n,
-        literal / n,
+        numbers / n,
+        (sum(map(len, strings)) + max(0, outside)) / n,
         len(shapes) / k,
         max(shapes.values(), default=0) / k,
         sum(1 for x in full if x[0] in " \t") / k,
         1 - len(full) / max(1, len(lines)),
-        sum(w for t, w in counts.items() if not (t[0].isalnum() or t[0] == "_")) / m,
-        data / max(1, n - comment),
+        symbols / m,
+        (sum(map(len, data)) + max(0, outside)) / max(1, len(code)),
         math.log1p(n),
     ]
 
@@ -124,9 +130,9 @@ BANDS, ROWS = 16, 2
 _MIX = np.random.default_rng(20240501).integers(1, 2**63, size=(BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
 
 
-def shingles(text: str, kind: str) -> np.ndarray:
-    """Distinct hashes of the five-word shingles of a text without comments; of shorter texts, one of all words."""
-    words = _WORDS.findall(_COMMENT[kind].sub(" ", text))
+def shingles(tokens: list[str]) -> np.ndarray:
+    """Distinct hashes of the five-word shingles of a text's tokens; of shorter texts, one of all words."""
+    words = [t for t in tokens if t[0].isalnum() or t[0] == "_"]
     if not words:
         return np.zeros(0, np.uint64)
     ids = {w: zlib.crc32(w.encode("utf-8", "replace")) for w in set(words)}
@@ -181,13 +187,14 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = [x for x in head if x.strip()][:NOTICE_LINES]
             notice = any(map(states_generated, first)) or any(map(states_generated, tail[-NOTICE_LINES:]))
             origin = next((o for x in first if (o := states_foreign(x))), None)
-            f = features(body, kind)
+            code, tokens = code_of(body, kind)
+            f = features(body, code, tokens)
             m = _FOREIGN_DIR.search(path)
             if notice or _OUTPUT_NAME.search(path) or f[-2] >= max(DATA_SHARE, DATA_CHARS / math.exp(f[-1])):
                 label = 1
             else:
                 label = 0 if first and not origin else None
-            for column, v in zip(out, (i, f, bands(shingles("\n".join(body), kind)), label, notice, origin, m.group(1).lower() if m else None)):
+            for column, v in zip(out, (i, f, bands(shingles(tokens)), label, notice, origin, m.group(1).lower() if m else None)):
                 column.append(v)
         yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
@@ -197,8 +204,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, known = [], {}
         for i, path, text, ref, ref_path, ref_text in zip(*(batch.column(k).to_pylist() for k in range(6))):
             if ref not in known:
-                known[ref] = shingles("\n".join(ends(ref_text)[1]), family(ref_path or ""))
-            if similarity(shingles("\n".join(ends(text)[1]), family(path or "")), known[ref]) >= SIMILARITY:
+                known[ref] = shingles(code_of(ends(ref_text)[1], family(ref_path or ""))[1])
+            if similarity(shingles(code_of(ends(text)[1], family(path or ""))[1]), known[ref]) >= SIMILARITY:
                 found.append(i)
         yield pa.record_batch([pa.array(found, pa.string())], names=["file_id"])
 

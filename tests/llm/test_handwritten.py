@@ -27,10 +27,10 @@ def test_foreign():
 
 def test_shingles_and_bands():
     words = [f"w{i}" for i in range(200)]
-    a, b = h.shingles(" ".join(words), "slash"), h.shingles(" ".join(words[:190]), "slash")
+    a, b = h.shingles(words), h.shingles(words[:190])
     assert h.similarity(a, b) == len(set(b.tolist())) / len(set(a.tolist())) and set(h.bands(a)) & set(h.bands(b))
-    assert h.bands(h.shingles("", "slash")) == [] and len(h.shingles("one two", "slash")) == 1
-    assert not set(h.bands(a)) & set(h.bands(h.shingles(" ".join(f"v{i}" for i in range(200)), "slash")))
+    assert h.bands(h.shingles([])) == [] and len(h.shingles(["one", "(", "two"])) == 1
+    assert not set(h.bands(a)) & set(h.bands(h.shingles([f"v{i}" for i in range(200)])))
 
 
 def hand(rng, k):
@@ -68,4 +68,5 @@ def test_table(spark, make):
 def test_features_are_finite():
     for text in ("", "\n", "x", "1" * 10_000, "'" * 99, '"""' + "a b " * 500):
         for kind in ("hash", "semi", "slash"):
-            assert np.isfinite(h.features(h.ends(text)[1], kind)).all()
+            body = h.ends(text)[1]
+            assert np.isfinite(h.features(body, *h.code_of(body, kind))).all() and len(h.features(body, *h.code_of(body, kind))) == len(h.FEATURES)
