@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from factloom.facts import Facts
 from factloom.operators.graph import bfs
 from factloom.operators.relational import component_of, freshness
+from factloom.operators.skew import top_n
 from factloom.session import Scratch
 
 #: Words that say nothing about a definition.
@@ -176,8 +177,7 @@ def doc_mentions(f: Facts, per_symbol: int = 5) -> DataFrame:
     hit = lines.select("doc_id", "k", F.explode(F.regexp_extract_all("line", F.lit("`([A-Za-z_]\\w{3,})`"), F.lit(1))).alias("name"))
     first = hit.groupBy("name", "doc_id").agg((F.min("k") + 1).alias("line"))
     known = f.symbols.where(F.col("kind").isin("function", "method", "class", "struct")).select("name").distinct()
-    w = Window.partitionBy("name").orderBy("doc_id")
-    return first.join(known, "name", "left_semi").withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_symbol).select("name", "doc_id", "line")
+    return top_n(first.join(known, "name", "left_semi"), ["name"], [F.asc("doc_id")], per_symbol, "doc_id").select("name", "doc_id", "line")
 
 
 def inferred_edges(f: Facts) -> DataFrame:

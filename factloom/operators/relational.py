@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.facts import Facts
 from factloom.functions.text import suffixes
+from factloom.operators.skew import top_n
 
 CALLABLE = ("function", "method")
 #: Kinds of variables.
@@ -81,13 +82,11 @@ def unresolved(f: Facts) -> DataFrame:
 def inbox(f: Facts, sample: int = 30) -> DataFrame:
     """(sid, qname, n_unresolved, n_ambiguous, first_targets): open calls per function, with the first target names by line."""
     r = f.refs_of("src", "kind", "status", "tname", "start_line").where((F.col("kind") == "call") & F.col("status").isin("unresolved", "ambiguous"))
-    r = r.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("start_line", "tname", "reference_id")))
-    shown = F.when(F.col("rank") <= sample, F.struct("rank", F.concat_ws(":", F.col("start_line"), F.coalesce("tname", F.lit(""))).alias("t")))
-    per = r.groupBy(F.col("src").alias("sid")).agg(
-        F.count_if(F.col("status") == "unresolved").alias("n_unresolved"),
-        F.count_if(F.col("status") == "ambiguous").alias("n_ambiguous"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["t"]), ", ").alias("first_targets"),
-    )
+    per = r.groupBy(F.col("src").alias("sid")).agg(F.count_if(F.col("status") == "unresolved").alias("n_unresolved"), F.count_if(F.col("status") == "ambiguous").alias("n_ambiguous"))
+    first = top_n(r, ["src"], [F.asc("start_line"), F.asc("tname"), F.asc("reference_id")], sample, "reference_id")
+    shown = F.struct("rank", F.concat_ws(":", F.col("start_line"), F.coalesce("tname", F.lit(""))).alias("t"))
+    first = first.groupBy(F.col("src").alias("sid")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x["t"]), ", ").alias("first_targets"))
+    per = per.join(first, "sid")
     return per.join(f.symbols.select("sid", "qname"), "sid")
 
 
@@ -255,11 +254,9 @@ def ordinals(f: Facts) -> DataFrame:
 
 
 def top_per_group(f: Facts, n: int = 3) -> DataFrame:
-    """(kind, rank, sid, span): the longest symbols of each kind. Ranked within files first, so that a kind's window only sees n per file."""
-    s = f.symbols.select("sid", "kind", "file_id", (F.col("end_line") - F.col("start_line") + 1).alias("span"))
-    order = (F.desc("span"), F.asc("sid"))
-    part = s.withColumn("r", F.row_number().over(Window.partitionBy("kind", "file_id").orderBy(*order))).where(F.col("r") <= n)
-    return part.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("rank") <= n).select("kind", "rank", "sid", "span")
+    """(kind, rank, sid, span): the longest symbols of each kind."""
+    s = f.symbols.select("sid", "kind", (F.col("end_line") - F.col("start_line") + 1).alias("span"))
+    return top_n(s, ["kind"], [F.desc("span"), F.asc("sid")], n, "sid").select("kind", "rank", "sid", "span")
 
 
 # -- sets -------------------------------------------------------------------------------------------------------------

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.facts import Facts
+from factloom.operators.skew import top_n
 
 K1, B = 1.2, 0.75
 #: Weights of the fields; only the body is normalised by length.
@@ -38,7 +39,7 @@ def bm25(docs: DataFrame, questions: DataFrame, top: int | None = 4) -> DataFram
     s = s.select("qid", "doc", F.round(F.col("s") * (1 + 0.15 * (F.col("matched") - 1)), 6).alias("score"), "matched")
     if not top:
         return s
-    return s.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc"))).where(F.col("r") <= top).drop("r")
+    return top_n(s, ["qid"], [F.desc("score"), F.asc("doc")], top, "doc").drop("rank")
 
 
 def symbol_documents(f: Facts) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.session import Scratch
 
@@ -39,3 +39,18 @@ def hot_keys(df: DataFrame, key: str, n_rows: int, parts: int) -> DataFrame:
     """Keys with more than 1/(4 parts) of ``n_rows``: fewer than 4 * parts of them can exist."""
     least = max(LEAST_HOT, n_rows // (4 * max(1, parts)))
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select(key)
+
+
+#: Parts into which each group is split before its first rows are ranked.
+SALTS = 256
+
+
+def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, salt: str, rank: str = "rank") -> DataFrame:
+    """The first ``n`` rows of each group by ``order``, with their rank.
+
+    Ranked within SALTS parts of a group first, so that a group that holds a third of all rows is no single sort: its last window sees
+    at most n rows of each part. ``salt`` names a column that spreads the rows; ties must be broken by ``order``.
+    """
+    part = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
+    first = part.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_r") <= n).drop("_r", "_salt")
+    return first.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)

@@ -49,9 +49,23 @@ def close(text: str, at: int, a: str, b: str) -> int:
     return len(text)
 
 
+_ORG_BLOCK = re.compile(r"(?ims)^[ \t]*#\+begin_src[ \t]+(?:emacs-lisp|elisp)\b[^\n]*\n(.*?)^[ \t]*#\+end_src")
+
+
+def org_source(text: str) -> str:
+    """An Org text of the same lines with all but its Emacs Lisp blocks blanked."""
+    out, at = [], 0
+    for m in _ORG_BLOCK.finditer(text):
+        out += [re.sub(r"[^\n]", " ", text[at : m.start(1)]), m.group(1)]
+        at = m.end(1)
+    return "".join(out) + re.sub(r"[^\n]", " ", text[at:])
+
+
 def extract(text: str, path: str, lang: str) -> dict[str, list[dict]]:
-    """symbols, refs, deps and flows of one file."""
+    """symbols, refs, deps, flows, fields, macros and findings of one file."""
     text = text.replace("\r\n", "\n").lstrip("﻿")
+    if path.lower().endswith(".org"):
+        text = org_source(text)
     code = blank(text, lang)
     line_of = _Lines(text)
     out: dict[str, list[dict]] = {"symbols": [], "refs": [], "deps": [], "flows": [], "fields": [], "macros": [], "findings": []}

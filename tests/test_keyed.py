@@ -28,3 +28,15 @@ def test_empty(make):
 def test_threshold_is_inclusive(make):
     r = [{"reference_id": str(i), "target_name": "a" if i < 1 else f"b{i}"} for i in range(100)]
     assert keyed.heavy_keys(make(REF, r), 0.01).count() == 100
+
+
+def test_top_n_of_a_hot_group(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.operators.skew import top_n
+
+    df = spark.range(3000).select((F.col("id") % 3 == 0).cast("string").alias("g"), (F.col("id") % 97).alias("v"), "id")
+    got = {(r.g, r.rank): (r.v, r.id) for r in top_n(df, ["g"], [F.desc("v"), F.asc("id")], 4, "id").collect()}
+    for g in ("true", "false"):
+        want = sorted(((-(i % 97), i) for i in range(3000) if (i % 3 == 0) == (g == "true")))[:4]
+        assert [got[g, k] for k in range(1, 5)] == [(-v, i) for v, i in want]

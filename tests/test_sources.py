@@ -198,3 +198,9 @@ def test_fields_macros_and_risks():
     assert {(x["name"], x["access"]) for x in c["fields"]} == {("a", "write"), ("b", "read"), ("c", "read"), ("n", "write"), ("d", "read")}
     assert [(m["name"], m["has_parameters"], m["body"]) for m in c["macros"]] == [("N", True, "((x) + 1)"), ("M", False, "2")]
     assert [(x["rule"], x["detail"]) for x in c["findings"]] == [("unsafe-libc", "strcpy")]
+
+
+def test_org_blocks():
+    org = "* Title (\n#+begin_src emacs-lisp\n(defun a () (b))\n#+end_src\n(defun no ())\n#+begin_src sh\n(x\n#+end_src\n"
+    got = brace_source.extract(org, "c.org", "elisp")
+    assert [(s["name"], s["start_line"]) for s in got["symbols"]] == [("a", 3)] and [r["target"] for r in got["refs"]] == ["b"]
