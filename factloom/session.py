@@ -41,6 +41,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into as many partitions as the session shuffles into, at least one per core.
+
+    For the sides of a join before a costly Python stage: the join keeps this partitioning, and adaptive execution does not merge
+    partitions that are small in bytes but not in work.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder.
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from factloom.session import spread
 from factloom.sources import brace_source, python_source
 from factloom.sources.tables import latest_files
 
@@ -36,7 +37,7 @@ def _run(batches: Iterator[pa.RecordBatch], what: str) -> Iterator[pa.RecordBatc
         rows = []
         for i, path, lang, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
             if lang == "python":
-                found = getattr(python_source.extract(text, path or ""), what, [])
+                found = getattr(python_source.extract(text, path or "", what), what, [])
             else:
                 found = brace_source.extract(text, path or "", lang).get(what, [])
             rows += [{"file_id": i, **r} for r in found]
@@ -51,4 +52,5 @@ def facts_of(files: DataFrame, texts: DataFrame, what: str, languages: tuple[str
     """
     f = latest_files(files).where(F.col("stated").isin(*languages)).select("file_id", "path", F.col("stated").alias("lang"))
     t = texts.where(F.col("content").isNotNull()).select("file_id", "content")
-    return f.join(t, "file_id").select("file_id", "path", "lang", "content").mapInArrow(lambda b: _run(b, what), _SCHEMAS[what])
+    both = spread(f, "file_id").join(spread(t, "file_id"), "file_id")
+    return both.select("file_id", "path", "lang", "content").mapInArrow(lambda b: _run(b, what), _SCHEMAS[what])

@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import builtins
 import warnings
+from collections import Counter
 from dataclasses import dataclass, field
 
 BUILTINS = frozenset(dir(builtins))
@@ -58,7 +59,9 @@ def module_name(path: str) -> str:
 
 
 class _Walker(ast.NodeVisitor):
-    def __init__(self, path: str, lines: list[str]):
+    def __init__(self, path: str, lines: list[str], want: str | None):
+        self.want = want
+        self.names = want in (None, "refs")
         self.module, self.lines, self.out = module_name(path), lines, Facts()
         self.package = self.module if path.endswith("__init__.py") else self.module.rpartition(".")[0]
         self.scope: list[tuple[str, str]] = [("module", self.module)]
@@ -86,9 +89,15 @@ class _Walker(ast.NodeVisitor):
             note = note or "builtin"
         self.out.refs.append({"source": self.here, "kind": kind, "target": target, "line": line, "note": note})
 
+    def generic_visit(self, node: ast.AST) -> None:
+        """Expressions are only walked for references."""
+        for child in ast.iter_child_nodes(node):
+            if self.names or isinstance(child, (ast.stmt, ast.excepthandler, ast.match_case)):
+                self.visit(child)
+
     def visit_Module(self, node: ast.Module) -> None:
         self.symbol(node, "module", self.module.rpartition(".")[2], self.module, 1, max(1, len(self.lines)), None)
-        for n in ast.walk(node):
+        for n in ast.walk(node) if self.names else ():
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and n.col_offset == 0:
                 self.defined.add(n.name)
         self.generic_visit(node)
@@ -115,7 +124,8 @@ class _Walker(ast.NodeVisitor):
         kind = "method" if self.scope[-1][0] == "class" else "function"
         q = f"{self.here}.{node.name}"
         decorators = [d for x in node.decorator_list if (d := dotted(x.func if isinstance(x, ast.Call) else x))]
-        own = list(own_nodes(node))
+        wants = lambda what: self.want in (None, what)
+        own = list(own_nodes(node)) if self.want not in ("refs", "deps", "exceptions", "blocks") else []
         generator = any(isinstance(x, (ast.Yield, ast.YieldFrom)) for x in own)
         self.symbol(node, kind, node.name, q, node.lineno, node.end_lineno or node.lineno, self.here, decorators=decorators, is_async=isinstance(node, ast.AsyncFunctionDef), is_generator=generator)
         for x in node.decorator_list:
@@ -123,12 +133,18 @@ class _Walker(ast.NodeVisitor):
         for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
             if a.annotation is not None and (d := dotted(a.annotation)):
                 self.ref("type_use", d, a.lineno)
-        self.out.flows.append({"qname": q, "line": node.lineno, **metrics(node, own)})
-        self.out.variables += variables(node, q, own)
-        self.out.findings += risks(node, q, own)
-        self.out.states += states(node, q, own, self.scope[-1][1] if kind == "method" else "", self.module)
-        self.out.exceptions += exceptions(node, q)
-        self.out.blocks += blocks(node, q)
+        if wants("flows"):
+            self.out.flows.append({"qname": q, "line": node.lineno, **metrics(node, own)})
+        if wants("variables"):
+            self.out.variables += variables(node, q, own)
+        if wants("findings"):
+            self.out.findings += risks(node, q, own)
+        if wants("states"):
+            self.out.states += states(node, q, own, self.scope[-1][1] if kind == "method" else "", self.module)
+        if wants("exceptions"):
+            self.out.exceptions += exceptions(node, q)
+        if wants("blocks"):
+            self.out.blocks += blocks(node, q)
         self.scope.append(("function", q))
         for x in node.body:
             self.visit(x)
@@ -180,25 +196,39 @@ def swallowed(h: ast.ExceptHandler) -> bool:
     return all(isinstance(x, (ast.Pass, ast.Continue, ast.Break)) or isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant) for x in h.body)
 
 
+_BLOCKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)
+
+
+def _depth(body: list, d: int) -> int:
+    """The deepest nesting of blocks below statements."""
+    most = d
+    for x in body:
+        if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            continue
+        inner = d + isinstance(x, _BLOCKS)
+        most = max(most, inner)
+        for part in ("body", "orelse", "finalbody"):
+            if kids := getattr(x, part, None):
+                most = max(most, _depth(kids, inner))
+        for part in (*getattr(x, "handlers", ()), *getattr(x, "cases", ())):
+            most = max(most, _depth(part.body, inner))
+    return most
+
+
 def metrics(node, own: list[ast.AST]) -> dict:
     """Counts of one function. cyclomatic is 1 and the decisions: branches, loops, handlers, cases, further operands of and/or, conditional expressions and comprehensions with their conditions."""
-    count = lambda *kinds: sum(isinstance(x, kinds) for x in own)
+    kinds = Counter(map(type, own))
+    count = lambda *wanted: sum(kinds[k] for k in wanted)
     handlers = [x for x in own if isinstance(x, ast.ExceptHandler)]
     ways = count(ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp) + sum(len(x.values) - 1 for x in own if isinstance(x, ast.BoolOp))
     ways += sum(1 + len(g.ifs) for x in own if isinstance(x, (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)) for g in x.generators)
     ways += sum(len(x.cases) for x in own if isinstance(x, ast.Match))
-    blocks = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)
-
-    def depth(n: ast.AST, d: int) -> int:
-        kids = [c for c in ast.iter_child_nodes(n) if not isinstance(c, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda))]
-        return max([d, *(depth(c, d + isinstance(c, blocks)) for c in kids)])
-
     return {
         "branches": count(ast.If, ast.IfExp, ast.Match), "loops": count(ast.For, ast.AsyncFor, ast.While), "try_blocks": count(ast.Try), "handlers": len(handlers), "swallowed": sum(map(swallowed, handlers)),
         "reraises": sum(any(isinstance(y, ast.Raise) for y in ast.walk(h)) for h in handlers),
         "logs": sum(any(isinstance(y, ast.Call) and (dotted(y.func) or "").rpartition(".")[2] in LOG_CALLS for y in ast.walk(h)) for h in handlers),
         "raises": count(ast.Raise), "returns": count(ast.Return), "awaits": count(ast.Await), "yields": count(ast.Yield, ast.YieldFrom), "with_blocks": count(ast.With, ast.AsyncWith),
-        "cyclomatic": 1 + ways, "max_depth": depth(node, 0), "lines": (node.end_lineno or node.lineno) - node.lineno + 1,
+        "cyclomatic": 1 + ways, "max_depth": _depth(node.body, 0), "lines": (node.end_lineno or node.lineno) - node.lineno + 1,
     }
 
 
@@ -419,19 +449,19 @@ def _literal(args) -> str:
     return next((str(a.value) for a in args if isinstance(a, ast.Constant)), "")
 
 
-def extract(text: str, path: str) -> Facts:
-    """All facts of one file; a text that does not parse has only its error."""
+def extract(text: str, path: str, want: str | None = None) -> Facts:
+    """All facts of one file, or only those of one kind; a text that does not parse has only its error."""
     text = text.replace("\r\n", "\n").lstrip("﻿")
     lines = text.split("\n")
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             tree = ast.parse(text)
-        w = _Walker(path, lines)
+        w = _Walker(path, lines, want)
         w.visit(tree)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return Facts(error=f"{type(e).__name__}: {e}"[:200])
-    for i, line in enumerate(lines, 1):
+    for i, line in enumerate(lines if want in (None, "findings") else (), 1):
         at = line.find("#")
         if at >= 0 and any(m in line[at:].upper() for m in ("TODO", "FIXME", "XXX", "HACK")):
             w.out.findings.append({"qname": w.module, "rule": "todo-marker", "level": "low", "line": i, "detail": line[at:].strip()[:120]})
