@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.llm.notices import states_foreign, states_generated
+from factloom.session import Scratch, spread
 from factloom.sources.tables import latest_files, normal_path
 
 FEATURES = [
@@ -236,12 +237,10 @@ def origins(files: DataFrame, texts: DataFrame, upstream: DataFrame, projects: D
     a notice names another origin than a project of ``projects``, or that it lies below a directory of foreign code and then one named
     after an origin that such notices or ``upstream`` name. Empty and blank texts are hand-written; null contents have no row.
     """
-    from factloom.session import Scratch
-
     scratch = Scratch(files.sparkSession, "handwritten")
     f = latest_files(files).select("file_id", "path")
-    t = texts.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(F.max("content").alias("content"))
-    both = f.join(t.where(F.col("content").isNotNull()), "file_id").select("file_id", "path", "content")
+    t = spread(texts.where(F.col("file_id").isNotNull()).select("file_id", "content"), "file_id").groupBy("file_id").agg(F.max("content").alias("content"))
+    both = spread(f, "file_id").join(t.where(F.col("content").isNotNull()), "file_id").select("file_id", "path", "content")
     seen = scratch.save(both.mapInArrow(_look, _SEEN))
     probability = _forest(seen)
 
