@@ -24,9 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 BUCKETS, FACTORS, TERMS, WORDS = 1 << 16, 8, 96, 18
 #: Labelled documents and passages that the model is fitted on, at most; every document is scored whole.
 LABELLED_DOCUMENTS, LABELLED_PASSAGES = 10_000, 200_000
-THRESHOLD = 0.5
+#: Documents that nobody reviewed, at most, and the weight with which they count as clean.
+ASSUMED_DOCUMENTS, ASSUMED_WEIGHT = 3_000, 0.1
+THRESHOLD = 0.35
 #: Probability from which a rejected document's worst passage is taken to be the reason.
 SUSPECT = 0.25
+#: Probability from which a passage of a document taken as clean counts little, or not at all if nobody reviewed it.
+DOUBT = 0.2
 SEED = 5
 
 # -- text in a plain form ---------------------------------------------------------------------------------------------
@@ -214,9 +218,11 @@ class FactorizationMachine:
                 self.b -= rate * float(g.sum()) / np.sqrt(gb)
 
 
-def fit(rows: list[list[int]], document: np.ndarray, offensive: np.ndarray, seeds: tuple[list[list[int]], list[int]], rounds: int = 3) -> FactorizationMachine:
+def fit(rows: list[list[int]], document: np.ndarray, offensive: np.ndarray, seeds: tuple[list[list[int]], list[int]], assumed: np.ndarray | None = None, rounds: int = 3) -> FactorizationMachine:
     """A machine from windows of terms, the document of each and each document's verdict (0 .. 1), with seed passages of known kind.
 
+    ``assumed`` marks documents that nobody reviewed: most are clean, so they count as such, with little weight and not where they look abusive.
+
     Which passage explains a rejected document is judged by a machine fitted on the other half of the documents, so that a wrong
     verdict can't confirm itself.
     """
@@ -231,10 +237,11 @@ def fit(rows: list[list[int]], document: np.ndarray, offensive: np.ndarray, seed
     if not n:
         return model
     of_bad, half = (offensive > 0.5)[document], document % 2
+    trust = np.ones(n) if assumed is None else np.where(assumed[document], ASSUMED_WEIGHT, 1.0)
     p = model.predict(x[:n])
     # at first all passages of a rejected document share its verdict, those more that the seeds suspect
     y[:n] = np.where(of_bad, 0.3 + 0.7 * p, 0.0)
-    weight[:n] = np.where(p > 0.5, np.where(of_bad, 1.0, 0.5), 1.0)
+    weight[:n] = trust * np.where(p > np.where(trust == 1, 0.5, DOUBT), np.where(of_bad, 1.0, 0.5 * (trust == 1)), 1.0)
     for _ in range(rounds):
         for k in (0, 1):
             part = np.concatenate([np.flatnonzero(half != k), seed_rows])
@@ -245,7 +252,7 @@ def fit(rows: list[list[int]], document: np.ndarray, offensive: np.ndarray, seed
         np.maximum.at(best, document, p)
         reason = of_bad & (best[document] > SUSPECT) & ((p >= best[document] - 1e-6) | (p > 0.5))
         y[:n] = reason
-        weight[:n] = np.where(reason, 3.0, np.where(of_bad, np.where(best[document] > SUSPECT, 1.0, 0.5), np.where(p > 0.35, 0.2, 1.0)))
+        weight[:n] = trust * np.where(reason, 3.0, np.where(of_bad, np.where(best[document] > SUSPECT, 1.0, 0.5), np.where(p > DOUBT, 0.2 * (trust == 1), 1.0)))
         weight[n:] = 1.0
     model = FactorizationMachine()
     model.fit(x, y, weight, 12)
@@ -257,19 +264,20 @@ def fit(rows: list[list[int]], document: np.ndarray, offensive: np.ndarray, seed
 
 def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, verdicts, texts = (batch.column(i).to_pylist() for i in range(3))
-        out_i, out_y, out_w = [], [], []
-        for i, y, t in zip(ids, verdicts, texts):
+        ids, verdicts, guesses, texts = (batch.column(i).to_pylist() for i in range(4))
+        out_i, out_y, out_a, out_w = [], [], [], []
+        for i, y, a, t in zip(ids, verdicts, guesses, texts):
             for p in dict.fromkeys(passages(t)):
                 for w in windows(p):
                     out_i.append(i)
                     out_y.append(y)
+                    out_a.append(a)
                     out_w.append(w)
-        yield pa.record_batch([pa.array(out_i, pa.int64()), pa.array(out_y, pa.float64()), pa.array(out_w, pa.list_(pa.int32()))], names=["doc_id", "verdict", "terms"])
+        yield pa.record_batch([pa.array(out_i, pa.int64()), pa.array(out_y, pa.float64()), pa.array(out_a, pa.bool_()), pa.array(out_w, pa.list_(pa.int32()))], names=["doc_id", "verdict", "assumed", "terms"])
 
 
 def learn(documents: DataFrame, labels: DataFrame) -> FactorizationMachine:
-    """A machine fitted on a bounded sample of the reviewed documents.
+    """A machine fitted on a bounded sample of the reviewed documents and a smaller one of the others, taken as clean with little weight.
 
     Of a document with several verdicts their mean counts; a tie says nothing. Labels other than clean and offensive are left out.
     """
@@ -277,17 +285,21 @@ def learn(documents: DataFrame, labels: DataFrame) -> FactorizationMachine:
 
     kind = F.lower(F.trim("label"))
     verdicts = labels.where(kind.isin("clean", "offensive")).groupBy("doc_id").agg(F.avg((kind == "offensive").cast("double")).alias("verdict")).where(F.col("verdict") != 0.5)
-    sample = verdicts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_DOCUMENTS)
+    sample = verdicts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_DOCUMENTS).withColumn("assumed", F.lit(False))
+    others = documents.where(F.col("text").isNotNull()).select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
+    others = others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(ASSUMED_DOCUMENTS).select("doc_id", F.lit(0.0).alias("verdict"), F.lit(True).alias("assumed"))
+    sample = sample.unionByName(others)
     texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(sample, "doc_id")
     found: pd.DataFrame = (
-        texts.select(F.col("doc_id").cast("long").alias("doc_id"), "verdict", "text")
-        .mapInArrow(_windows_of, "doc_id long, verdict double, terms array<int>")
+        texts.select(F.col("doc_id").cast("long").alias("doc_id"), "verdict", "assumed", "text")
+        .mapInArrow(_windows_of, "doc_id long, verdict double, assumed boolean, terms array<int>")
         .orderBy(F.xxhash64("doc_id", "terms"), "doc_id", "terms")
         .limit(LABELLED_PASSAGES)
         .toPandas()
     )
     codes, docs = pd.factorize(found["doc_id"])
-    verdict = np.zeros(len(docs))
+    verdict, assumed = np.zeros(len(docs)), np.zeros(len(docs), bool)
+    assumed[codes] = found["assumed"].to_numpy(bool) if len(found) else []
     verdict[codes] = found["verdict"].to_numpy(float) if len(found) else []
     seed_x, seed_y = [], []
     for text, y in SEEDS:
@@ -295,7 +307,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> FactorizationMachine:
             for w in windows(p):
                 seed_x.append(w)
                 seed_y.append(y)
-    return fit([list(map(int, t)) for t in found["terms"]], codes, verdict, (seed_x, seed_y))
+    return fit([list(map(int, t)) for t in found["terms"]], codes, verdict, (seed_x, seed_y), assumed)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], packed) -> Iterator[pa.RecordBatch]:
