@@ -188,7 +188,9 @@ class FactorizationMachine:
         return self.b + self.w[x].sum(1) * s + pairs * s * s
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
+        # in parts, as margin() holds FACTORS numbers for every term
+        parts = [self.margin(x[at : at + 2048]) for at in range(0, len(x), 2048)]
+        return 1 / (1 + np.exp(-np.clip(np.concatenate(parts) if parts else np.zeros(0), -30, 30)))
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float = 0.15, decay: float = 2e-5) -> None:
         rng = np.random.default_rng(SEED)
@@ -307,7 +309,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> FactorizationMachine:
             for w in windows(p):
                 seed_x.append(w)
                 seed_y.append(y)
-    return fit([list(map(int, t)) for t in found["terms"]], codes, verdict, (seed_x, seed_y), assumed)
+    return fit(found["terms"].tolist(), codes, verdict, (seed_x, seed_y), assumed)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], packed) -> Iterator[pa.RecordBatch]:
