@@ -65,6 +65,33 @@ def test_chunks_agree(lang, size):
     assert left == right[p.CODE] and p.verdict(left, lang) == ""
 
 
+NESTED = 'f(\nx[f"{d["]"]}"],\ny)\nz = """a\nb""" + \\\nf(1)\nu = """a\nv""".w\n'
+
+
+def in_chunks(text, lang, size):
+    pieces = p.cut(p.unify(text), lang, size)
+    maps = [p.state_map(c, lang, i == 0, i == len(pieces) - 1) for i, c in enumerate(pieces)]
+    return p.verdict(reduce(p.compose, maps)[p.CODE], lang)
+
+
+@pytest.mark.parametrize("lang", GOOD)
+@pytest.mark.parametrize("size", [1, 30, 90, 400])
+def test_same_verdict_at_every_size(lang, size):
+    others = [SQL, HTML, SHELL, JSON, PROSE, LOG, *GOOD.values(), NESTED]
+    cuts = [GOOD[lang][:at] for at in range(0, len(GOOD[lang]), 7)] + [GOOD[lang][at:] for at in range(0, len(GOOD[lang]), 7)]
+    notes = [GOOD[lang] + "\n[output limit reached]\n\n", "[truncated]\n" + GOOD[lang], GOOD[lang] + "x = 1\n...\n# end\n", GOOD[lang] + "# <<<<<<< HEAD\n>>>>>>> a\n"]
+    for text in [x * n for x in others for n in (1, 4)] + cuts + notes:
+        assert in_chunks(text, lang, size) == in_chunks(text, lang, 10**9), (lang, size, text)
+    if size < 90 and lang == "python":
+        assert in_chunks(JSON * 4, lang, size) == "kind" and in_chunks(NESTED, lang, size) == ""
+    if size < 90:
+        assert len(p.cut(GOOD[lang] * 3, lang, p.CHUNK)) < len(p.cut(GOOD[lang] * 3, lang, size))
+
+
+def test_ordinary_files_have_several_chunks():
+    assert all(len(p.cut(GOOD[lang] * 12, lang)) > 1 for lang in GOOD)
+
+
 def test_table(spark, make):
     names = {"a": "x.py", "b": "y.py", "c": "z.c", "n": "n.py", "e": "e.go", "t": "t.txt", "big": "big.c", "bigbad": "bigbad.c"}
     files = make(FILE, [{"file_id": i, "relative_path": n, "project_id": "p", "analysis_status": "failed"} for i, n in names.items()])
