@@ -293,8 +293,8 @@ add("u_boundary_light", lambda f: f.symbols.where((F.col("name") == "main") | F.
 _QUESTIONS = [(1, "clip the ledger buffer"), (2, "where is the lattice index rebuilt"), (3, "heartbeat per channel gives up after silent intervals")]
 
 
-def _ranked(f: Facts, top: int | None) -> DataFrame:
-    return retrieval.bm25(retrieval.symbol_documents(f), f.spark.createDataFrame(_QUESTIONS, "qid int, question string"), top)
+def _ranked(f: Facts, top: int | None, body: bool = False) -> DataFrame:
+    return retrieval.bm25(retrieval.symbol_documents(f), f.spark.createDataFrame(_QUESTIONS, "qid int, question string"), top, retrieval.symbol_bodies(f) if body else None)
 
 
 _T = lambda c: f"unnest(list_filter(regexp_extract_all(lower(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+'), lambda w: length(w) >= 2))"
@@ -310,6 +310,19 @@ _BM = [
 add("t_bm25f", lambda f: _ranked(f, 4), "SELECT qid, doc, score, matched FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS r FROM sc) WHERE r <= 4", *_BM)
 add("t_scores", lambda f: _ranked(f, None).select("qid", "doc", "matched"), "SELECT qid, doc, matched FROM sc", *_BM)
 
+# the same with the body as a field; the SQL above stays without it
+_IN_BODY = [
+    "tx AS (SELECT DISTINCT file_id, string_split_regex(content, '\\r\\n|\\n') AS x FROM files JOIN source_texts USING (file_id) WHERE content IS NOT NULL AND sha256(content) = content_hash)",
+    "own AS (SELECT DISTINCT sid AS doc, file_id, unnest(range(greatest(start_line, 1), least(end_line, len(x)) + 1)) AS line FROM syms JOIN files USING (file_id) JOIN tx USING (file_id) WHERE kind IN ('function', 'method', 'class', 'struct') AND start_line IS NOT NULL AND end_line IS NOT NULL)",
+    f"bt AS (SELECT doc, {_T('x[line]')} AS term FROM own JOIN tx USING (file_id) WHERE NOT EXISTS (SELECT 1 FROM syms k WHERE k.pid = doc AND line BETWEEN k.start_line AND k.end_line))",
+    "bl AS (SELECT doc, count(*) AS length FROM bt GROUP BY 1)",
+    "tf AS (SELECT doc, term, count(*) AS k FROM bt WHERE term IN (SELECT term FROM q) GROUP BY 1, 2)",
+    "per AS (SELECT doc, term, CAST(sum(w) AS DOUBLE) AS w FROM (SELECT doc, term, CAST(w AS DOUBLE) AS w FROM post WHERE term IN (SELECT term FROM q) UNION ALL SELECT doc, term, k / (0.25 + 0.75 * length / greatest((SELECT count(*) FROM bt) / (SELECT count(*) FROM docs), 1.0)) FROM tf JOIN bl USING (doc)) GROUP BY 1, 2)",
+]
+_BMB = [*_BM[:-3], *_IN_BODY, *_BM[-2:]]
+add("t_bm25f_body", lambda f: _ranked(f, 4, True), "SELECT qid, doc, score, matched FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS r FROM sc) WHERE r <= 4", *_BMB)
+add("t_scores_body", lambda f: _ranked(f, None, True).select("qid", "doc", "matched"), "SELECT qid, doc, matched FROM sc", *_BMB)
+
 # -- 2.1, 2.11, 2.12 extraction, resolution and analyses of functions: no SQL, tested on small sources ----------------------
 
 
@@ -398,6 +411,9 @@ def _expected(f: Facts) -> DataFrame:
 add("t_eval", lambda f: more.evaluation(_ranked(f, None), _expected(f)),
     "SELECT count(*) AS n, round(avg(CASE WHEN r <= 4 THEN 1 ELSE 0 END), 6) AS recall, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM (SELECT DISTINCT qid FROM ex) LEFT JOIN (SELECT qid, min(r) AS r FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS r FROM sc) JOIN ex USING (qid, doc) GROUP BY 1) USING (qid)",
     *_BM, "ex AS (SELECT DISTINCT qid, sid AS doc FROM (SELECT sid, unnest(regexp_extract_all(lower(summary), '[a-z0-9]+')) AS word FROM syms WHERE kind IN ('function', 'method', 'class', 'struct')) JOIN (VALUES (1, 'ledger'), (2, 'lattice'), (3, 'heartbeat')) v(qid, word) USING (word))")
+add("t_eval_body", lambda f: more.evaluation(_ranked(f, None, True), _expected(f)),
+    "SELECT count(*) AS n, round(avg(CASE WHEN r <= 4 THEN 1 ELSE 0 END), 6) AS recall, round(avg(coalesce(1.0 / r, 0)), 6) AS mrr FROM (SELECT DISTINCT qid FROM ex) LEFT JOIN (SELECT qid, min(r) AS r FROM (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS r FROM sc) JOIN ex USING (qid, doc) GROUP BY 1) USING (qid)",
+    *_BMB, "ex AS (SELECT DISTINCT qid, sid AS doc FROM (SELECT sid, unnest(regexp_extract_all(lower(summary), '[a-z0-9]+')) AS word FROM syms WHERE kind IN ('function', 'method', 'class', 'struct')) JOIN (VALUES (1, 'ledger'), (2, 'lattice'), (3, 'heartbeat')) v(qid, word) USING (word))")
 
 # -- analyses across functions: no SQL, tested on small sources --------------------------------------------------------------
 

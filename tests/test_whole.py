@@ -2,7 +2,11 @@
 
 from test_queries import DATA, con, rows  # noqa: F401
 
+import pytest
+
 import __spark_entry__ as entry
+from factloom.facts import Facts
+from factloom.operators import retrieval
 
 
 def test_all_references_are_ordered(spark, con, rows):  # noqa: F811
@@ -11,3 +15,29 @@ def test_all_references_are_ordered(spark, con, rows):  # noqa: F811
     assert len(got) == len(want) > 100 and rows(got) == rows(want)
     key = [tuple((v is not None and v == v, v if v == v and v is not None else 0) for v in r) for r in got[["file_id", "start_line", "tname", "reference_id"]].astype(object).itertuples(index=False)]
     assert key == sorted(key)
+
+
+@pytest.mark.parametrize("name", ["t_bm25f_body", "t_scores_body", "t_eval_body"])
+def test_body_counts(spark, con, rows, name):  # noqa: F811
+    got, want = entry.queries()[name](spark, DATA).toPandas(), con.execute(entry.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+    if name == "t_scores_body":
+        assert len(got) > con.execute(f"SELECT count(*) FROM ({entry.oracle_sql()['t_scores']})").fetchone()[0]
+
+
+def test_body_is_what_children_leave(spark, tmp_path):
+    text = "class A:\n    keeper = 1\n    def f(self):\n        return lantern\n"
+    from hashlib import sha256
+
+    spark.createDataFrame([("x", "p", "a.py", "python", sha256(text.encode()).hexdigest(), None, None, None), ("y", "p", "b.py", "python", "old", None, None, None)], "file_id string, project_id string, relative_path string, language string, content_hash string, last_analyzed_at timestamp_ntz, analysis_status string, analyzer_version string").write.parquet(f"{tmp_path}/source_files.parquet")
+    spark.createDataFrame([("x", text), ("x", text), ("y", text), ("x", None)], "file_id string, content string").write.parquet(f"{tmp_path}/source_texts.parquet")
+    from conftest import SYMBOL
+
+    names = [c.split()[0] for c in SYMBOL.split(", ")]
+    found = [dict(symbol_id="a", file_id="x", name="A", kind="class", start_line=1, end_line=4), dict(symbol_id="f", file_id="x", name="f", kind="method", start_line=3, end_line=9, parent_symbol_id="a"), dict(symbol_id="b", file_id="y", name="B", kind="class", start_line=1, end_line=4)]
+    spark.createDataFrame([tuple(s.get(n) for n in names) for s in found], SYMBOL).write.parquet(f"{tmp_path}/symbols.parquet")
+    f = Facts(spark, str(tmp_path))
+    assert sorted((r.doc, *r.terms) for r in retrieval.symbol_bodies(f).collect()) == [("a", "class", "keeper"), ("f", "def", "self", "return", "lantern")]
+    q = spark.createDataFrame([(1, "the lantern")], "qid int, question string")
+    docs = retrieval.symbol_documents(f)
+    assert retrieval.bm25(docs, q, 4).count() == 0 and [r.doc for r in retrieval.bm25(docs, q, 4, retrieval.symbol_bodies(f)).collect()] == ["f"]
