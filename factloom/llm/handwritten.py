@@ -1,7 +1,7 @@
 """Files that were not written by hand in the project: generated, squeezed, copied from third parties, or data.
 
 Method: a random forest on compression ratio, token entropy, identifier lengths and comment density, with the shape of lines
-and the shares of digits and literals beside them. Its labels come from header notices, which are removed from the text before the features are
+and the shares of digits and literals beside them. Its labels come from notices in comments, which are removed from the text before the features are
 taken, so that it learns how such files look rather than what they say. Copies of third-party files look hand-written; they are
 found by shingles shared with the list of known files, by a notice that names a foreign origin, or by a path below a directory of
 foreign code named after one.
@@ -39,7 +39,14 @@ _COMMENT = {
 _LITERAL = re.compile(r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`")
 _HEAD_LINE = re.compile(r"^\s*(?:#(?!include|define|if|endif|pragma|line\b)|//|;|/?\*|\*/|<!--|\"{3}|'{3}|$)")
 
-#: Lines at either end of a file in which a notice counts.
+#: Comments and what may hold their marks without being one.
+_LEX = {
+    "hash": re.compile(r"#[^\n]*|\"{3}(?:\\[\s\S]|(?!\"{3})[^\\])*(?:\"{3}|\Z)|'{3}(?:\\[\s\S]|(?!'{3})[^\\])*(?:'{3}|\Z)|\"(?:\\[\s\S]|[^\"\\\n])*\"?|'(?:\\[\s\S]|[^'\\\n])*'?"),
+    "semi": re.compile(r";[^\n]*|\"(?:\\[\s\S]|[^\"\\])*(?:\"|\Z)|\?\\?[^\s\w]"),
+    "slash": re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|R\"([^()\\\s\"]{0,16})\([\s\S]*?(?:\)\1\"|\Z)|\"(?:\\[\s\S]|[^\"\\\n])*\"?|(?<![0-9A-Za-z_])'(?:\\[\s\S]|[^'\\\n])*'?|`[^`]*(?:`|\Z)"),
+}
+
+#: Lines at either end of a file in which a notice of a foreign origin counts, and one that a program wrote the file if in a docstring.
 NOTICE_LINES = 8
 
 
@@ -59,6 +66,22 @@ def ends(text: str) -> tuple[list[str], list[str], list[str]]:
     return lines[:a], lines[a:b], lines[b:]
 
 
+def stated(lines: list[str], kind: str) -> set[int]:
+    """The lines, of those that are comments as a whole and outside strings, which state that a program wrote the file."""
+    near = [i for i, x in enumerate(lines) if states_generated(x)]
+    if not near:
+        return set()
+    text, found, at, line = "\n".join(lines), set(), 0, 0
+    for m in _LEX[kind].finditer(text):
+        if m.group()[0] not in "#;/":
+            continue
+        a, b = m.span()
+        line, at = line + text.count("\n", at, a), a
+        if not text[text.rfind("\n", 0, a) + 1 : a].strip() and not text[b : text.find("\n", b) if "\n" in text[b:] else len(text)].strip():
+            found.update(range(line, line + m.group().count("\n") + 1))
+    return found & set(near)
+
+
 def _looks_like_data(literal: str) -> bool:
     """Whether a string holds a payload rather than words: long without a blank, or rows of values."""
     body = literal.strip("\"'`")
@@ -187,6 +210,9 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head, body, tail = ends(text)
             first = [x for x in head if x.strip()][:NOTICE_LINES]
             notice = any(map(states_generated, first)) or any(map(states_generated, tail[-NOTICE_LINES:]))
+            said = stated([*head, *body, *tail], kind)
+            notice = notice or bool(said)
+            body = [x for k, x in enumerate(body, len(head)) if k not in said]
             origin = next((o for x in first if (o := states_foreign(x))), None)
             code, tokens = code_of(body, kind)
             f = features(body, code, tokens)
@@ -232,8 +258,8 @@ def _forest(seen: DataFrame) -> DataFrame:
 def origins(files: DataFrame, texts: DataFrame, upstream: DataFrame, projects: DataFrame | None = None) -> DataFrame:
     """(file_id, probability, written_by_program, known_copy, foreign) of every file with a text.
 
-    probability is the forest's, that a file was generated, squeezed or is data; written_by_program is what a notice at either end
-    states; known_copy, that it has a five-word shingle similarity of 0.8 or more to a file of ``upstream``, comments aside; foreign, that
+    probability is the forest's, that a file was generated, squeezed or is data; written_by_program is what a notice in any whole-line
+    comment states; known_copy, that it has a five-word shingle similarity of 0.8 or more to a file of ``upstream``, comments aside; foreign, that
     a notice names another origin than a project of ``projects``, or that it lies below a directory of foreign code and then one named
     after an origin that such notices or ``upstream`` name. Empty and blank texts are hand-written; null contents have no row.
     """

@@ -70,3 +70,20 @@ def test_features_are_finite():
         for kind in ("hash", "semi", "slash"):
             body = h.ends(text)[1]
             assert np.isfinite(h.features(body, *h.code_of(body, kind))).all() and len(h.features(body, *h.code_of(body, kind))) == len(h.FEATURES)
+
+
+@pytest.mark.parametrize("path, mark, text", [("a.cc", "//", '"a // x"'), ("a.py", "#", "'''a\n# @generated\n'''"), ("a.el", ";;", '"a\n;; @generated\n"')])
+def test_notice_between_lines_of_code(path, mark, text):
+    import pyarrow as pa
+
+    body = "".join(f"x{k} = {text}\n" for k in range(30)) + "end = 1\n" * 15
+    notice = f"{mark} Code generated by rpcweave. DO NOT EDIT.\n"
+
+    def look(content):
+        out = next(h._look(iter([pa.record_batch([pa.array(["1"]), pa.array([path]), pa.array([content])], names=["a", "b", "c"])])))
+        return out.to_pylist()[0]
+
+    with_notice, without = look(body + notice + body), look(body + body)
+    assert with_notice["notice"] and with_notice["label"] == 1 and not without["notice"]
+    assert with_notice["features"] == without["features"]
+    assert not look(body + "y = 1 " + notice + body)["notice"]
