@@ -253,6 +253,19 @@ def _paths(f: Facts) -> DataFrame:
 add("g_paths", _paths, "SELECT array_to_string(way, ' > ') AS path, CAST(len(way) - 1 AS INT) AS length FROM w WHERE node = (SELECT node FROM b)",
     _DEP, _FE, "a AS (SELECT src AS node FROM fe GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)", "b AS (SELECT dst AS node FROM fe GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)",
     "w AS (SELECT [node] AS way, node FROM a UNION ALL SELECT list_append(way, dst), dst FROM w JOIN fe ON src = node WHERE len(way) <= 5 AND node <> (SELECT node FROM b) AND NOT list_contains(way, dst))", recursive=True)
+
+
+def _call_paths(f: Facts) -> DataFrame:
+    """From the symbol with the most callees to the one with the most callers."""
+    e = f.calls().select("src", "dst").distinct()
+    a = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").limit(1).collect()
+    b = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dst").limit(1).collect()
+    return graph.simple_paths(e, a[0][0] if a else "", b[0][0] if b else "", 8)
+
+
+add("g_call_paths", _call_paths, "SELECT array_to_string(way, ' > ') AS path, CAST(len(way) - 1 AS INT) AS length FROM w WHERE len(way) > 1 AND node = (SELECT node FROM b)",
+    _REF, _CALLS, "a AS (SELECT src AS node FROM calls GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)", "b AS (SELECT dst AS node FROM calls GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)",
+    "w AS (SELECT [node] AS way, node FROM a UNION ALL SELECT list_append(way, dst), dst FROM w JOIN calls ON src = node WHERE len(way) <= 8 AND node <> (SELECT node FROM b) AND NOT list_contains(way, dst))", recursive=True)
 add("g_dep_cycles", lambda f: graph.components(f.file_edges()),
     "SELECT c.a AS node, max(c.b) AS component FROM cl c JOIN cl d ON c.a = d.b AND c.b = d.a GROUP BY 1 HAVING count(*) > 1", _DEP, _FE, "cl AS (SELECT src AS a, dst AS b FROM fe UNION SELECT a, dst FROM cl JOIN fe ON b = src)", recursive=True)
 add("g_layers", lambda f: graph.layers(f.file_edges()))

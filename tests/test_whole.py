@@ -41,3 +41,23 @@ def test_body_is_what_children_leave(spark, tmp_path):
     q = spark.createDataFrame([(1, "the lantern")], "qid int, question string")
     docs = retrieval.symbol_documents(f)
     assert retrieval.bm25(docs, q, 4).count() == 0 and [r.doc for r in retrieval.bm25(docs, q, 4, retrieval.symbol_bodies(f)).collect()] == ["f"]
+
+
+def test_call_paths_of_up_to_eight_edges(spark, con, rows, tmp_path):  # noqa: F811
+    chain = lambda k: ["s", *(f"c{k}_{i}" for i in range(k - 1)), "t"]
+    pairs = {p for k in range(2, 11) for p in zip(chain(k), chain(k)[1:])} | {("c8_2", "c3_1"), ("c3_1", "c4_0"), ("c4_0", "c8_2"), ("t", "c2_0")}
+    rest = [(f"r{i}", a, b, "call", "resolved") for i, (a, b) in enumerate(sorted(pairs))]
+    rest += [("n1", "s", "t", "call", "ambiguous"), ("n2", "s", "t", "type_use", "resolved"), ("r0", *rest[0][1:])]
+    spark.createDataFrame(rest, "reference_id string, source_symbol_id string, target_symbol_id string, reference_kind string, resolution_status string").write.parquet(f"{tmp_path}/refs.parquet")
+
+    def walk(way):
+        if way[-1] == "t":
+            yield (" > ".join(way), len(way) - 1)
+        elif len(way) <= 8:
+            for a, b in pairs:
+                if a == way[-1] and b not in way:
+                    yield from walk([*way, b])
+
+    got = {tuple(r) for r in entry.queries()["g_call_paths"](spark, str(tmp_path)).select("path", "length").collect()}
+    assert got == set(walk(["s"])) and {n for _, n in got} == set(range(2, 9))
+    assert rows(entry.queries()["g_call_paths"](spark, DATA).toPandas()) == rows(con.execute(entry.oracle_sql()["g_call_paths"]).df())
