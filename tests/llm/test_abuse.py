@@ -77,3 +77,19 @@ def test_without_labels(spark):
     df = spark.createDataFrame([(1, "You are a complete idiot."), (2, "The build is a damn mess again.")], "doc_id long, text string").selectExpr("*", "'s' AS source")
     lab = spark.createDataFrame([], "doc_id long, label string")
     assert [r.doc_id for r in a.offensive(df, lab).collect()] == [1]
+
+
+def test_scorer_equals_the_machine():
+    found = [p for t in ("You are a complete idiot. Thanks!", "お前は馬鹿だ。", "word " * 100 + "idiot", "?!", "...") for p in a.passages(t)]
+    m = a.FactorizationMachine()
+    m.w += np.random.default_rng(1).normal(0, 1, len(m.w)).astype(np.float32)
+    x = a.Windows(found, a.Vocabulary()).terms()
+    want = np.zeros(len(found))
+    np.maximum.at(want, x.owner, m.predict(x))
+    score = a.Scorer(m)
+    assert np.allclose(score(found), want, atol=1e-5) and np.allclose([score([p])[0] for p in found], want, atol=1e-5) and score([]).shape == (0,)
+
+
+def test_long_passages_overlap():
+    x = a.Windows(["a b", " ".join(f"w{chr(97 + i % 26)}" for i in range(50)), ""], a.Vocabulary())
+    assert x.length.tolist() == [2, 18, 18, 18, 18, 14] and x.owner.tolist() == [0, 1, 1, 1, 1, 1] and (x.first + x.length)[-1] == 52
