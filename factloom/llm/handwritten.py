@@ -2,7 +2,8 @@
 
 Method: a random forest on compression ratio, token entropy, identifier lengths and comment density, with the shape of lines
 and the shares of digits and literals beside them. Its labels come from notices in comments, which are removed from the text before the features are
-taken, so that it learns how such files look rather than what they say. Copies of third-party files look hand-written; they are
+taken, and from names that build tools give to squeezed files, as squeezing drops all notices; the features don't see names. So it learns how such files look
+rather than what they say. Copies of third-party files look hand-written; they are
 found by shingles shared with the list of known files, by a notice that names a foreign origin, or by a path below a directory of
 foreign code named after one.
 """
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.llm.notices import states_foreign, states_generated
+from factloom.llm.notices import may_state_generated, states_foreign, states_generated
 from factloom.session import Scratch, spread
 from factloom.sources.tables import latest_files, normal_path
 
@@ -156,15 +157,16 @@ _MIX = np.random.default_rng(20240501).integers(1, 2**63, size=(BANDS * ROWS, 2)
 
 def shingles(tokens: list[str]) -> np.ndarray:
     """Distinct hashes of the five-word shingles of a text's tokens; of shorter texts, one of all words."""
-    words = [t for t in tokens if t[0].isalnum() or t[0] == "_"]
-    if not words:
+    # 0 marks what is no word; a word whose hash is 0 counts as 1
+    ids = {t: (zlib.crc32(t.encode("utf-8", "replace")) or 1) if t[0].isalnum() or t[0] == "_" else 0 for t in set(tokens)}
+    a = np.fromiter(map(ids.__getitem__, tokens), np.uint64, len(tokens))
+    a = a[a > 0]
+    if not len(a):
         return np.zeros(0, np.uint64)
-    ids = {w: zlib.crc32(w.encode("utf-8", "replace")) for w in set(words)}
-    a = np.fromiter((ids[w] for w in words), np.uint64, len(words))
-    k = min(SHINGLE, len(words))
-    h = np.zeros(len(words) - k + 1, np.uint64)
+    k = min(SHINGLE, len(a))
+    h = np.zeros(len(a) - k + 1, np.uint64)
     for i in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + a[i : len(words) - k + 1 + i]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + a[i : len(a) - k + 1 + i]
         h ^= h >> np.uint64(29)
     return np.unique(h)
 
@@ -186,22 +188,20 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 # -- the operator ----------------------------------------------------------------------------------------------------
 
-#: Names that build tools give to their output, as a second source of labels.
+#: Names that build tools give to their output, as a second source of labels: what squeezes a file drops its notices.
 _OUTPUT_NAME = re.compile(r"(?i)(?:[.-](?:min|bundle|packed)\.\w+$|\.pb\.\w+$|_pb2\.py$|\.tab\.\w+$|(?:^|/)(?:lex\.|moc_|zz_generated|loaddefs-)[^/]*$|_stubs\.py$|-autoloads\.el$)")
 #: Directories that by convention hold foreign code.
 _FOREIGN_DIR = re.compile(r"(?i)(?:^|/)(?:(?:_?vendors?|third[_-]?party|3rdparty|external|extern|node_modules|contrib|deps)/)+([^/]+)/")
-#: Share of payload in the code, and its characters, from which a file is labelled as data.
-DATA_SHARE, DATA_CHARS = 0.4, 500
 #: Labelled rows that the forest is fitted on, at most; all files are classified.
 LABELLED_ROWS = 20_000
 TREES, DEPTH, SEED = 30, 7, 11
-LEAST_PROBABILITY = 0.4
+LEAST_PROBABILITY = 0.15
 
-_SEEN = "file_id string, features array<double>, bands array<long>, label int, notice boolean, origin string, below string"
+_SEEN = "file_id string, features array<double>, bands array<long>, label int, notice boolean, origin string, below string, blank boolean"
 
 
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.int32(), pa.bool_(), pa.string(), pa.string()]
+    kinds = [pa.string(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.bool_()]
     names = [x.split()[0] for x in _SEEN.split(", ")]
     for batch in batches:
         out: list[list] = [[] for _ in names]
@@ -209,19 +209,20 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             path, kind = path or "", family(path or "")
             head, body, tail = ends(text)
             first = [x for x in head if x.strip()][:NOTICE_LINES]
-            notice = any(map(states_generated, first)) or any(map(states_generated, tail[-NOTICE_LINES:]))
-            said = stated([*head, *body, *tail], kind)
+            hinted = may_state_generated(text)
+            notice = hinted and (any(map(states_generated, first)) or any(map(states_generated, tail[-NOTICE_LINES:])))
+            said = stated([*head, *body, *tail], kind) if hinted else set()
             notice = notice or bool(said)
             body = [x for k, x in enumerate(body, len(head)) if k not in said]
             origin = next((o for x in first if (o := states_foreign(x))), None)
             code, tokens = code_of(body, kind)
             f = features(body, code, tokens)
             m = _FOREIGN_DIR.search(path)
-            if notice or _OUTPUT_NAME.search(path) or f[-2] >= max(DATA_SHARE, DATA_CHARS / math.exp(f[-1])):
+            if notice or _OUTPUT_NAME.search(path):  # neither can be seen in the features
                 label = 1
             else:
                 label = 0 if first and not origin else None
-            for column, v in zip(out, (i, f, bands(shingles(tokens)), label, notice, origin, m.group(1).lower() if m else None)):
+            for column, v in zip(out, (i, f, bands(shingles(tokens)), label, notice, origin, m.group(1).lower() if m else None, not text.strip())):
                 column.append(v)
         yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
@@ -273,8 +274,10 @@ def origins(files: DataFrame, texts: DataFrame, upstream: DataFrame, projects: D
     up = upstream.where(F.col("content").isNotNull()).select(F.concat_ws("\u0001", F.col("upstream_id").cast("string"), normal_path(F.col("relative_path"))).alias("ref"), normal_path(F.col("relative_path")).alias("ref_path"), F.col("content").alias("ref_text"), F.lower(F.trim("upstream_name")).alias("name"))
     up = up.dropDuplicates(["ref_text"])
     refs = up.select(F.col("ref").alias("file_id"), F.col("ref_path").alias("path"), F.col("ref_text").alias("content")).mapInArrow(_look, _SEEN).select(F.col("file_id").alias("ref"), F.explode("bands").alias("band"))
-    near = seen.select("file_id", F.explode("bands").alias("band")).join(refs, "band").select("file_id", "ref").distinct()
-    pairs = near.join(both, "file_id").join(up, "ref").select("file_id", "path", "content", "ref", "ref_path", "ref_text")
+    near = scratch.save(seen.select("file_id", F.explode("bands").alias("band")).join(refs, "band").select("file_id", "ref").distinct())
+    # only the texts of candidates are read again; their ids come from a written table, whose size decides between broadcast and shuffle
+    few = texts.where(F.col("content").isNotNull()).select("file_id", "content").join(near.select("file_id").distinct(), "file_id", "left_semi").groupBy("file_id").agg(F.max("content").alias("content"))
+    pairs = near.join(f, "file_id").join(few, "file_id").join(up, "ref").select("file_id", "path", "content", "ref", "ref_path", "ref_text")
     copies = pairs.mapInArrow(_compare, "file_id string").distinct().withColumn("known_copy", F.lit(True))
 
     own = None if projects is None else projects.select(F.lower(F.trim("name")).alias("origin")).where(F.col("origin").isNotNull()).distinct()
@@ -285,9 +288,9 @@ def origins(files: DataFrame, texts: DataFrame, upstream: DataFrame, projects: D
     below = seen.where(F.col("below").isNotNull()).select("file_id", F.col("below").alias("origin")).join(names, "origin", "left_semi").select("file_id")
     foreign = named.select("file_id").union(below).distinct().withColumn("foreign", F.lit(True))
 
-    out = seen.select("file_id", F.col("notice").alias("written_by_program")).join(probability, "file_id").join(copies, "file_id", "left").join(foreign, "file_id", "left")
+    out = seen.select("file_id", "blank", F.col("notice").alias("written_by_program")).join(probability, "file_id").join(copies, "file_id", "left").join(foreign, "file_id", "left")
     no = F.lit(False)
-    return out.select("file_id", "probability", "written_by_program", F.coalesce("known_copy", no).alias("known_copy"), F.coalesce("foreign", no).alias("foreign"))
+    return out.select("file_id", F.when(F.col("blank"), 0.0).otherwise(F.col("probability")).alias("probability"), "written_by_program", F.coalesce("known_copy", no).alias("known_copy"), F.coalesce("foreign", no).alias("foreign"))
 
 
 def not_handwritten(files: DataFrame, texts: DataFrame, upstream: DataFrame, projects: DataFrame | None = None) -> DataFrame:
