@@ -32,6 +32,8 @@ FEATURES = [
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|#x[0-9A-Fa-f]+|[^\w\s]")
 _IDENT = re.compile(r"[A-Za-z_]\w*")
 _NUMBER = re.compile(r"\d+")
+#: Repeated items of a list, such as numbers with their commas.
+_RUN = re.compile(r"([-+]?[\"a9.]+[,;:]? *)\1+")
 _COMMENT = {
     "hash": re.compile(r"(?m)^[ \t]*#(?!include|define|if|endif|else|elif|undef|pragma|line|error)[^\n]*|^[ \t]*[rRuU]?(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})"),
     "semi": re.compile(r"\"(?:\\[\s\S]|[^\"\\])*\"|;[^\n]*"),
@@ -107,34 +109,44 @@ def features(lines: list[str], code: str, tokens: list[str]) -> list[float]:
     n = max(1, len(text))
     m = max(1, len(tokens))
     counts = Counter(tokens)
-    entropy = -sum(c / m * math.log2(c / m) for c in counts.values())
-    idents = [(len(t), c) for t, c in counts.items() if t[0].isalpha() or t[0] == "_"]
-    total = max(1, sum(c for _, c in idents))
-    mean = sum(k * c for k, c in idents) / total
-    var = sum(c * (k - mean) ** 2 for k, c in idents) / total
-    digits = [(len(t), c) for t, c in counts.items() if t[0].isdigit() or t[:2] == "#x"]
-    numbers = sum(k * c for k, c in digits)
-    symbols = m - total - sum(c for _, c in digits)
+    entropy, total, squares, whole, short, distinct, numbers, figures = 0.0, 0, 0, 0, 0, 0, 0, 0
+    for t, c in counts.items():
+        entropy -= c * math.log2(c / m)
+        first = t[0]
+        if first.isalpha() or first == "_":
+            k = len(t)
+            total += c
+            whole += c * k
+            squares += c * k * k
+            short += c * (k <= 2)
+            distinct += 1
+        elif first.isdigit() or t[:2] == "#x":
+            numbers += c * len(t)
+            figures += c
+    symbols = m - total - figures
+    total = max(1, total)
+    mean = whole / total
     raw = text.encode("utf-8", "replace")
     full = [x for x in lines if x.strip()]
     k = max(1, len(full))
-    lengths = [len(x) for x in full] or [0]
-    line_mean = sum(lengths) / k
-    shapes = Counter(x.strip()[:60] for x in _NUMBER.sub("9", _IDENT.sub("a", "\n".join(full))).split("\n"))
+    lengths = np.fromiter(map(len, full), np.float64, len(full)) if full else np.zeros(1)
+    line_mean = float(lengths.sum()) / k
+    body = "\n".join(full)
+    shapes = Counter(map(str.strip, _RUN.sub(r"\1", _NUMBER.sub("9", _IDENT.sub("a", body))).split("\n")))
     strings = _LITERAL.findall(code)
     data = [x for x in strings if _looks_like_data(x)]
     outside = numbers - sum(map(len, _NUMBER.findall("\n".join(strings))))
     return [
         len(zlib.compress(raw, 1)) / max(1, len(raw)),
-        entropy,
+        entropy / m,
         mean,
-        math.sqrt(var),
-        sum(c for j, c in idents if j <= 2) / total,
-        len(idents) / total,
-        1 - sum(map(len, code.split())) / max(1, sum(map(len, text.split()))),
+        math.sqrt(max(0.0, squares / total - mean**2)),
+        short / total,
+        distinct / total,
+        1 - len("".join(code.split())) / max(1, len("".join(text.split()))),
         math.log1p(line_mean),
-        math.log1p(math.sqrt(sum((x - line_mean) ** 2 for x in lengths) / k)),
-        math.log1p(max(lengths)),
+        math.log1p(math.sqrt(max(0.0, float((lengths**2).sum()) / k - line_mean**2))),
+        math.log1p(float(lengths.max())),
         numbers / n,
         (sum(map(len, strings)) + max(0, outside)) / n,
         len(shapes) / k,
@@ -194,8 +206,8 @@ _OUTPUT_NAME = re.compile(r"(?i)(?:[.-](?:min|bundle|packed)\.\w+$|\.pb\.\w+$|_p
 _FOREIGN_DIR = re.compile(r"(?i)(?:^|/)(?:(?:_?vendors?|third[_-]?party|3rdparty|external|extern|node_modules|contrib|deps)/)+([^/]+)/")
 #: Labelled rows that the forest is fitted on, at most; all files are classified.
 LABELLED_ROWS = 20_000
-TREES, DEPTH, SEED = 30, 7, 11
-LEAST_PROBABILITY = 0.15
+TREES, DEPTH, SEED = 40, 10, 11
+LEAST_PROBABILITY = 0.1
 
 _SEEN = "file_id string, features array<double>, bands array<long>, label int, notice boolean, origin string, below string, blank boolean"
 

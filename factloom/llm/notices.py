@@ -23,7 +23,7 @@ GENERATED = re.compile(
 )
 
 #: Parts of words of which each notice above has one.
-_HINT = re.compile(r"(?i)generate|generado|erzeugt|generiert|machine[ -]written|output|produ|source:|généré|自動生成|自动生成")
+_HINTS = ("generate", "generado", "erzeugt", "generiert", "machine written", "machine-written", "output", "produ", "source:", "généré", "自動生成", "自动生成")
 
 #: Phrases of notices that a file was taken from elsewhere; the group is the name of the origin, if stated.
 FOREIGN = [
@@ -39,7 +39,8 @@ FOREIGN = [
 
 def may_state_generated(text: str) -> bool:
     """Whether a text has a line of which states_generated can be true; cheaper than asking it of every line."""
-    return bool(_HINT.search(text))
+    low = text.lower()
+    return any(h in low for h in _HINTS)
 
 
 def states_generated(line: str) -> bool:
