@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -21,24 +21,39 @@ def cascade(project_id: str, tables: dict[str, DataFrame], files: DataFrame) ->
     return out
 
 
-def write_facts(df: DataFrame, path: str, buckets: int = 64, key: str = "file_id") -> None:
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``. Any other failure to look is raised, as taking it for an empty table would lose rows."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and len(fs.listStatus(p)) > 0
+
+
+def write_facts(df: DataFrame, path: str, buckets: int = 64, key: str = "file_id", analysed: DataFrame | None = None) -> None:
     """Replace the facts of the files in ``df``: a dynamic overwrite of the buckets that their hashes fall into, one directory each.
 
-    Rows of other files in those buckets are kept, so a run rewrites only what it touches.
+    Rows of other files in those buckets are kept, so a run rewrites only what it touches. ``analysed`` (key): all files of the run, so
+    that those without facts lose their old ones; unless given, the files in ``df``. A table that exists but cannot be read fails the call and stays as it is.
     """
     spark = df.sparkSession
-    with_bucket = df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    try:
-        old = spark.read.parquet(path)
-    except Exception:
-        old = None
-    if old is not None:
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    with_bucket, ids = df.withColumn("bucket", bucket), (df if analysed is None else analysed.select(key).union(df.select(key))).select(key).distinct()
+    if table_exists(spark, path):
         from factloom.session import Scratch
 
-        touched = with_bucket.select("bucket").distinct()
-        kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(df.select(key).distinct(), key, "left_anti")
-        with_bucket = Scratch(spark, "facts").save(with_bucket.unionByName(kept.select(*with_bucket.columns)))
+        old = spark.read.parquet(path)
+        scratch = Scratch(spark, "facts")
+        ids = scratch.save(ids)
+        touched = ids.select(bucket.alias("bucket")).distinct()  # at most ``buckets`` rows
+        kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(ids, key, "left_anti")
+        with_bucket = scratch.save(with_bucket.unionByName(kept.select(*with_bucket.columns)))
+        # a bucket that has lost its last row isn't overwritten by a dynamic overwrite
+        emptied = [r[0] for r in touched.join(with_bucket.select("bucket").distinct(), "bucket", "left_anti").collect()]
+    else:
+        emptied = []
     with_bucket.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in emptied:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _escape(text: str, quotes: str) -> str:

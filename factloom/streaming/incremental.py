@@ -26,17 +26,15 @@ def latest_from_stream(spark: SparkSession, folder: str, schema, target: str, ch
 
     Each micro batch replaces only what is newer; a batch that is run again after a failure changes nothing, as the newest row wins.
     """
-    from factloom.sinks import write_facts
+    from factloom.sinks import table_exists, write_facts
     from factloom.sources.tables import latest_files
 
     def fold(batch: DataFrame, _epoch: int) -> None:
         fresh = latest_files(batch).drop("path", "stated")
-        try:
+        if table_exists(batch.sparkSession, target):  # any failure to read it fails the batch, which runs again
             old = batch.sparkSession.read.parquet(target).drop("bucket")
             touched = old.join(fresh.select("file_id"), "file_id", "left_semi")
             fresh = latest_files(fresh.unionByName(touched)).drop("path", "stated")
-        except Exception:  # the first batch
-            pass
         write_facts(fresh, target)
 
     stream = spark.readStream.schema(schema).parquet(folder)

@@ -61,3 +61,37 @@ def test_twins(spark):
     s = spark.createDataFrame([("a", "u"), ("b", "u"), ("c", "u"), ("d", None), ("e", "")], "sid string, usr string")
     got = {tuple(r) for r in rel.same_usr(s).collect()}
     assert got == {(x, x) for x in "abcde"} | {("b", "a"), ("a", "b"), ("c", "a"), ("a", "c")}
+
+
+def test_files_without_facts_lose_their_old_ones(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    schema = "file_id string, v int"
+    sinks.write_facts(spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], schema), path, 2)
+    sinks.write_facts(spark.createDataFrame([("a", 2)], schema), path, 2, analysed=spark.createDataFrame([("a",), ("b",)], "file_id string"))
+    assert {(r.file_id, r.v) for r in spark.read.parquet(path).collect()} == {("a", 2), ("c", 1)}
+    sinks.write_facts(spark.createDataFrame([], schema), path, 2, analysed=spark.createDataFrame([("a",), ("c",)], "file_id string"))
+    assert spark.read.schema(schema).parquet(path).count() == 0
+
+
+def test_unreadable_old_facts_fail_and_stay(spark, tmp_path):
+    path = tmp_path / "facts"
+    schema = "file_id string, v int"
+    sinks.write_facts(spark.createDataFrame([("a", 1), ("b", 1)], schema), str(path), 1)
+    part = next(path.rglob("*.parquet"))
+    whole = part.read_bytes()
+    part.write_bytes(b"no parquet")
+    before = sorted(p.name for p in path.rglob("*"))
+    with pytest.raises(Exception):
+        sinks.write_facts(spark.createDataFrame([("a", 2)], schema), str(path), 1)
+    assert sorted(p.name for p in path.rglob("*")) == before and part.read_bytes() == b"no parquet"
+    for crc in path.rglob(".*.crc"):
+        crc.unlink()
+    part.write_bytes(whole)
+    assert {(r.file_id, r.v) for r in spark.read.parquet(str(path)).collect()} == {("a", 1), ("b", 1)}
+    with pytest.raises(Exception):
+        bad = str(tmp_path / "in")
+        (tmp_path / "out").mkdir()
+        (tmp_path / "out" / "x.parquet").write_bytes(b"no parquet")
+        spark.createDataFrame([], FILE).write.parquet(bad)
+        spark.sql("SELECT 'a' AS file_id, 'p' AS project_id, 'x.py' AS relative_path, 'python' AS language, 'h' AS content_hash, timestamp_ntz'2024-01-01 00:00:00' AS last_analyzed_at, 'analyzed' AS analysis_status, 'v' AS analyzer_version").write.mode("append").parquet(bad)
+        incremental.latest_from_stream(spark, bad, spark.createDataFrame([], FILE).schema, str(tmp_path / "out"), str(tmp_path / "ck2")).awaitTermination(120)
