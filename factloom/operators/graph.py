@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom.session import Scratch
 
-#: Edges up to which one task walks the whole graph: some 20 MB. Its number is counted first; larger graphs go in rounds, with equal results.
+#: Edges that one task can walk: some 20 MB. A caller who passes it as ``small`` has graphs of up to so many edges walked at once; by default all go in rounds.
 SMALL = 200_000
 
 
@@ -99,24 +99,24 @@ def _walk_layers(pairs: list[tuple]) -> list[tuple]:
     return [(v, h, level[h]) for v, h in head.items()]
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None, reverse: bool = False, scratch: Scratch | None = None, small: int = SMALL) -> DataFrame:
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None, reverse: bool = False, scratch: Scratch | None = None, small: int = 0) -> DataFrame:
     """(node, distance): nodes reached from ``seeds`` (node) by at most ``depth`` edges, each at its shortest distance; seeds at 0."""
     scratch = scratch or Scratch(edges.sparkSession, "bfs")
     a, b = ("dst", "src") if reverse else ("src", "dst")
     steps = scratch.save(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
-    if steps.count() <= small:
+    if small and steps.count() <= small:
         starts = scratch.save(seeds.where(F.col("node").isNotNull()).select("node").distinct())
         if starts.count() <= small:
             pairs = steps.select(F.col("node").alias("src"), F.col("next").alias("dst")).unionByName(starts.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst")))
             return _in_one_task(pairs, lambda p: _walk_bfs(p, depth), "node string, distance int")
     layer = scratch.save(seeds.where(F.col("node").isNotNull()).select("node").distinct().withColumn("distance", F.lit(0)))
-    seen, k = [layer], 0
-    while (depth is None or k < depth) and not layer.isEmpty():
+    seen, k, n = [layer], 0, 1
+    while (depth is None or k < depth) and n:
         k += 1
         fresh = layer.select("node").join(steps, "node").select(F.col("next").alias("node")).distinct()
         # every neighbour of the last layer is seen or new; in directed graphs it may be in any earlier layer
         fresh = fresh.join(_all(seen).select("node"), "node", "left_anti")
-        layer = scratch.save(fresh.withColumn("distance", F.lit(k)))
+        layer, n = scratch.save_counted(fresh.withColumn("distance", F.lit(k)))
         seen.append(layer)
     return _all(seen)
 
@@ -184,30 +184,29 @@ def simple_paths(edges: DataFrame, source: str, target: str, depth: int) -> Data
     return _all(out)
 
 
-def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+def components(edges: DataFrame, small: int = 0) -> DataFrame:
     """(node, component): the strongly connected components of more than one node, named by their greatest node.
 
-    Nodes without edges in or out are trimmed first, round by round. Then every node takes the greatest node that reaches it as its colour; the
-    nodes that reach their colour's own node within the colour are one component and leave, and the rest goes round again.
+    Nodes without edges in or out are trimmed first, round by round. Then every node takes two colours, the greatest node that reaches it and the
+    greatest that it reaches. Where both are one node, it lies on a circle with it and leaves; the rest goes round again without the edges between different colours.
     """
     scratch = Scratch(edges.sparkSession, "scc")
     rest = scratch.save(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
-    if rest.count() <= small:
+    if small and rest.count() <= small:
         return _in_one_task(rest, _walk_components, "node string, component string")
     found: list[DataFrame] = []
     while True:
         rest = _trim(rest, scratch)
         if rest.isEmpty():
             break
-        colour = _spread(rest, scratch)
-        inside = rest.join(colour.select(F.col("node").alias("src"), F.col("colour")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst").where(F.col("colour") == F.col("c2")).select("src", "dst")
-        heads = colour.where(F.col("node") == F.col("colour")).select("node")
-        # within its colour, a node reaches the head exactly if it lies on a circle with it
-        back = bfs(inside, heads, reverse=True, scratch=scratch, small=small).select("node").join(colour, "node")
-        comp = scratch.save(back.select("node", F.col("colour").alias("component")))
-        found.append(comp)
-        gone = comp.select("node")
-        rest = scratch.save(rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        # the greatest node that reaches a node and the greatest that it reaches: if they are the same, the node lies on a circle with it
+        pair = scratch.save(_spread(rest, scratch).join(_spread(rest.select(F.col("dst").alias("src"), F.col("src").alias("dst")), scratch).withColumnRenamed("colour", "back"), "node"))
+        found.append(pair.where(F.col("colour") == F.col("back")).select("node", F.col("colour").alias("component")))
+        # members of one component have the same pair of colours; edges between others lead out of components
+        left = pair.where(F.col("colour") != F.col("back"))
+        a = left.select(F.col("node").alias("src"), F.col("colour").alias("c1"), F.col("back").alias("b1"))
+        z = left.select(F.col("node").alias("dst"), F.col("colour").alias("c2"), F.col("back").alias("b2"))
+        rest = scratch.save(rest.join(a, "src").join(z, "dst").where((F.col("c1") == F.col("c2")) & (F.col("b1") == F.col("b2"))).select("src", "dst"))
     if not found:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
     out = _all(found)
@@ -216,47 +215,51 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
 
 
 def _trim(rest: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edges of which both ends have an edge in and an edge out, round by round until none goes."""
     n = rest.count()
     while n:
         heads, tails = rest.select(F.col("dst").alias("src")).distinct(), rest.select(F.col("src").alias("dst")).distinct()
-        kept = scratch.save(rest.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
-        m = kept.count()
+        kept, m = scratch.save_counted(rest.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
         if m == n:
             return kept
         rest, n = kept, m
     return rest
 
 
+def _raised(state: DataFrame, edges: DataFrame, scratch: Scratch, step: int) -> DataFrame:
+    """(node, value): the greatest value at fixpoint, where a node offers its value plus ``step`` along its edges. Only nodes whose value rose offer it again.
+
+    state: (node, value); edges: (node, next). A round is one written table.
+    """
+    state = scratch.save(state.withColumn("rose", F.lit(True)))
+    while True:
+        fresh = state.where("rose").select("node", (F.col("value") + step if step else F.col("value")).alias("offer"))
+        offers = fresh.join(edges, "node").select(F.col("next").alias("node"), "offer")
+        offers = offers.groupBy("node").agg(F.max("offer").alias("offer"))
+        rose = F.coalesce(F.col("offer") > F.col("value"), F.lit(False))
+        state, n = scratch.save_counted(state.drop("rose").join(offers, "node", "left").select("node", F.when(rose, F.col("offer")).otherwise(F.col("value")).alias("value"), rose.alias("rose")), F.col("rose"))
+        if not n:
+            return state.drop("rose")
+
+
 def _spread(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, colour): the greatest node that reaches each node, itself included. Only nodes whose colour changed send it on."""
+    """(node, colour): the greatest node that reaches each node, itself included."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    colour = scratch.save(nodes.withColumn("colour", F.col("node")))
-    fresh = colour
-    while True:
-        sent = fresh.select(F.col("node").alias("src"), "colour").join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("offer"))
-        fresh = scratch.save(colour.join(sent, "node").where(F.col("offer") > F.col("colour")).select("node", F.col("offer").alias("colour")))
-        if fresh.isEmpty():
-            return colour
-        colour = scratch.save(colour.join(fresh.select("node", F.col("colour").alias("better")), "node", "left").select("node", F.coalesce("better", "colour").alias("colour")))
+    found = _raised(nodes.withColumn("value", F.col("node")), edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), scratch, 0)
+    return found.withColumnRenamed("value", "colour")
 
 
-def layers(edges: DataFrame, small: int = SMALL) -> DataFrame:
+def layers(edges: DataFrame, small: int = 0) -> DataFrame:
     """(node, component, level): sinks of the condensed graph have level 0, others one more than their highest successor."""
     scratch = Scratch(edges.sparkSession, "layers")
     edges = scratch.save(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst").distinct())
-    if edges.count() <= small:
+    if small and edges.count() <= small:
         return _in_one_task(edges, _walk_layers, "node string, component string, level int")
     comp = scratch.save(components(edges, small))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     group = scratch.save(nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     up = edges.join(group.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(group.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
     dag = scratch.save(up.where(F.col("a") != F.col("b")).select("a", "b").distinct())
-    level = scratch.save(group.select("component").distinct().withColumn("level", F.lit(0)))
-    fresh = level
-    while True:
-        raised = fresh.select(F.col("component").alias("b"), "level").join(dag, "b").groupBy(F.col("a").alias("component")).agg((F.max("level") + 1).alias("at"))
-        fresh = scratch.save(level.join(raised, "component").where(F.col("at") > F.col("level")).select("component", F.col("at").alias("level")))
-        if fresh.isEmpty():
-            break
-        level = scratch.save(level.join(fresh.withColumnRenamed("level", "new"), "component", "left").select("component", F.coalesce("new", "level").alias("level")))
-    return group.join(level, "component").select("node", "component", "level")
+    zero = group.select(F.col("component").alias("node")).distinct().withColumn("value", F.lit(0))
+    level = _raised(zero, dag.select(F.col("b").alias("node"), F.col("a").alias("next")), scratch, 1)
+    return group.join(level.select(F.col("node").alias("component"), F.col("value").alias("level")), "component").select("node", "component", "level")

@@ -122,21 +122,20 @@ def extracted(edges: DataFrame, seeds: DataFrame, items: int = 30, depth: int =
     return ranked.withColumn("truncated", n > items)
 
 
-def base_names(f: Facts, depth: int = 10) -> DataFrame:
-    """(name, base, distance): the names of all base classes, direct or not, nearest first."""
+def base_names(f: Facts) -> DataFrame:
+    """(name, base, distance): the names of all base classes, direct or not, nearest first, until no new one is found."""
     c = f.symbols.where(F.col("kind").isin("class", "struct")).select("name", F.explode("base_classes").alias("base")).where(F.col("name").isNotNull()).distinct()
     scratch = Scratch(f.spark, "bases")
     c = scratch.save(c)
-    layer, out = c.withColumn("distance", F.lit(1)), None
-    out, k = layer, 1
-    while k < depth:
+    layer = out = c.withColumn("distance", F.lit(1))
+    k = 1
+    while True:
         k += 1
         step = layer.select("name", F.col("base").alias("b")).join(c.select(F.col("name").alias("b"), "base"), "b").select("name", "base").distinct()
         layer = scratch.save(step.join(out, ["name", "base"], "left_anti").withColumn("distance", F.lit(k)))
         if layer.isEmpty():
-            break
+            return out
         out = out.unionByName(layer)
-    return out
 
 
 # -- externals, history, documents ----------------------------------------------------------------------------------------
@@ -192,7 +191,9 @@ def inferred_edges(f: Facts) -> DataFrame:
 
 def evaluation(ranked: DataFrame, expected: DataFrame, top: int = 4) -> DataFrame:
     """(n, recall, mrr): of questions with expected documents (qid, doc), the share that has one in the top and the mean inverse rank. ranked: (qid, doc, score)."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc")
-    hit = ranked.withColumn("rank", F.row_number().over(w)).join(expected, ["qid", "doc"]).groupBy("qid").agg(F.min("rank").alias("rank"))
+    # the rank of the best expected document is one more than the number of documents before it: counted, not sorted, so no question is one task
+    best = ranked.join(expected.distinct(), ["qid", "doc"]).groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("s"), "doc")).alias("b"))
+    before = F.struct((-F.col("score")).alias("s"), "doc") < F.col("b")
+    hit = ranked.join(best, "qid").groupBy("qid").agg((F.count_if(before) + 1).alias("rank"))
     q = expected.select("qid").distinct().join(hit, "qid", "left")
     return q.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce(F.col("rank") <= top, F.lit(False)).cast("int")), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
