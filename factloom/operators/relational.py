@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.facts import Facts
 from factloom.functions.text import suffixes
-from factloom.operators.skew import top_n
+from factloom.operators.skew import away_from_null, balanced_left_join, top_n
+from factloom.session import Scratch
 
 CALLABLE = ("function", "method")
 #: Kinds of variables.
@@ -65,8 +66,8 @@ def without(f: Facts, globs: list[str]) -> tuple[DataFrame, DataFrame, DataFrame
     kept = files.select("file_id")
     symbols = f.symbols.join(kept, "file_id", "left_semi")
     gone = f.symbols.select(F.col("sid").alias("dst"), "file_id").join(kept, "file_id", "left_anti").select("dst")
-    refs = f.refs.join(kept, "file_id", "left_semi").join(gone, "dst", "left_anti")
-    return files, symbols, refs
+    refs = f.refs.join(kept, "file_id", "left_semi").withColumn("_dst", away_from_null("dst", "reference_id"))
+    return files, symbols, refs.join(gone.withColumnRenamed("dst", "_dst"), "_dst", "left_anti").drop("_dst")
 
 
 def test_path(path: Column) -> Column:
@@ -97,7 +98,8 @@ def ref_hits(f: Facts) -> DataFrame:
     """References with the source's and target's qualified names and the file's path; the target may be unknown."""
     src = f.symbols.select(F.col("sid").alias("src"), F.col("qname").alias("source"))
     dst = f.symbols.select(F.col("sid").alias("dst"), F.col("qname").alias("target"))
-    return f.refs.join(src, "src").join(f.files.select("file_id", "path"), "file_id").join(dst, "dst", "left").select("reference_id", "source", "target", "tname", "kind", "path", "start_line", "status")
+    rows = f.refs.join(src, "src").join(f.files.select("file_id", "path"), "file_id")
+    return balanced_left_join(rows, dst, "dst", "reference_id", Scratch(f.spark, "hits")).select("reference_id", "source", "target", "tname", "kind", "path", "start_line", "status")
 
 
 def dep_hits(f: Facts) -> DataFrame:

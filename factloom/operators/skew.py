@@ -54,3 +54,17 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, salt: str
     part = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)))
     first = part.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_r") <= n).drop("_r", "_salt")
     return first.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+
+
+def away_from_null(key: str, salt: str) -> Column:
+    """The key, or where it is null one of SALTS values that no key equals: rows without key then spread over all tasks of a join instead of meeting in one."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("string")))
+
+
+def balanced_left_join(left: DataFrame, right: DataFrame, key: str, salt: str, scratch: Scratch) -> DataFrame:
+    """``left`` left-joined to ``right``, whose ``key`` is unique; null keys are spread by ``salt`` and hot ones found by a count and sent by broadcast."""
+    n = left.where(F.col(key).isNotNull()).count()
+    hot = find_hot(left, key, n, scratch)
+    named = left.withColumn("_key", away_from_null(key, salt))
+    out = lookup_join(named, right.withColumnRenamed(key, "_key"), "_key", None if hot is None else hot.withColumnRenamed(key, "_key"))
+    return out.drop("_key")
