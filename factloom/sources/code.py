@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.session import spread
-from factloom.sources import brace_source, python_source
+from factloom.sources import brace_source, python_keys, python_source
 from factloom.sources.tables import latest_files
 
 _SCHEMAS = {
@@ -22,6 +22,8 @@ _SCHEMAS = {
     "exceptions": "file_id string, qname string, what string, name string, line int, end_line int, caught boolean",
     "blocks": "file_id string, qname string, block int, start_line int, end_line int, to int, label string",
     "fields": "file_id string, qname string, name string, access string, line int",
+    "keys": "file_id string, source string, kind string, key string, a string, b string, line int, name string, position int",
+    "exports": "file_id string, module string, name string, target string",
     "macros": "file_id string, name string, has_parameters boolean, body string, line int",
 }
 _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
@@ -36,7 +38,9 @@ def _run(batches: Iterator[pa.RecordBatch], what: str) -> Iterator[pa.RecordBatc
     for batch in batches:
         rows = []
         for i, path, lang, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if lang == "python":
+            if what in ("keys", "exports"):
+                found = python_keys.keys(text, path or "")[what == "exports"] if lang == "python" else []
+            elif lang == "python":
                 found = getattr(python_source.extract(text, path or "", what), what, [])
             else:
                 found = brace_source.extract(text, path or "", lang).get(what, [])
