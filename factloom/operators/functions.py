@@ -59,6 +59,12 @@ def trace(variables: DataFrame, seeds: DataFrame, depth: int, upstream: bool = F
     return bfs(value_edges(variables), seeds, depth, reverse=upstream)
 
 
+def pointer_trace(variables: DataFrame, aliases: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(node, distance): as trace(), where what a pointer is an alias of takes the pointer's values. aliases: (qname, name, target)."""
+    same = aliases.where(F.col("target").rlike(r"^\w+$")).select(F.concat_ws(":", "qname", "name").alias("src"), F.concat_ws(":", "qname", "target").alias("dst"))
+    return bfs(value_edges(variables).unionByName(same).unionByName(same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), seeds, depth)
+
+
 def field_uses(fields: DataFrame) -> DataFrame:
     """(name, access, n, n_functions) of struct fields over all files."""
     return fields.groupBy("name", "access").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_id", "qname").alias("n_functions"))

@@ -121,6 +121,21 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None, reverse: b
     return _all(seen)
 
 
+def reach_each(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
+    """(origin, node, distance): what each seed (node) reaches by at most ``depth`` edges, itself at 0."""
+    scratch = Scratch(edges.sparkSession, "each")
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    steps = scratch.save(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
+    layer = out = scratch.save(seeds.where(F.col("node").isNotNull()).select(F.col("node").alias("origin"), "node").distinct().withColumn("distance", F.lit(0)))
+    for k in range(1, depth + 1):
+        step = layer.join(steps, "node").select("origin", F.col("next").alias("node")).distinct()
+        layer, n = scratch.save_counted(step.join(out.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("distance", F.lit(k)))
+        if not n:
+            break
+        out = out.unionByName(layer)
+    return out
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

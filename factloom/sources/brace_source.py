@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import re
 
+from factloom.sources import lisp, statements
+
 _BLANK = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|R\"([^()\\\s]{0,16})\([\s\S]*?\)\1\"|`[^`]*`|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
 _BLANK_EL = re.compile(r";[^\n]*|\"(?:\\[\s\S]|[^\"\\])*\"|\?\\?.")
 _DEF_C = re.compile(r"(?m)^([ \t]*)(?!(?:else|return|if|for|while|switch|do|case|goto|typedef|using|new|throw|public|private|protected)\b)((?:[A-Za-z_][\w:<>,]*[\s*&]+)+)((?:[A-Za-z_]\w*::)*~?[A-Za-z_]\w*)\s*\(([^;{}()]*(?:\([^()]*\)[^;{}()]*)*)\)\s*(?:const|noexcept|override|final|\s)*(\{|;)")
@@ -16,18 +18,18 @@ _TYPE_GO = re.compile(r"(?m)^type\s+(\w+)\s+(struct|interface)\s*\{")
 _CALL = re.compile(r"([A-Za-z_][\w]*(?:(?:::|\.|->)[A-Za-z_]\w*)*)\s*\(")
 _INCLUDE = re.compile(r"(?m)^[ \t]*#[ \t]*include[ \t]*([<\"])([^>\"\n]+)[>\"]")
 _IMPORT_GO = re.compile(r"(?m)^import\s+(?:\w+\s+)?\"([^\"]+)\"|^\s+(?:\w+\s+)?\"([\w./-]+)\"\s*$")
-_DECISION = re.compile(r"\b(?:if|for|while|case|catch|select)\b|&&|\|\||\?")
 #: Words before a parenthesis that are no calls.
 _NO_CALL = frozenset("if for while switch return sizeof catch func defer go select case defined static_assert alignof decltype new delete throw".split())
 _FIELD = re.compile(r"(?:->|(?<=[\w\])])\.)\s*([A-Za-z_]\w*)\b(?!\s*\()(\s*(?:[-+*/|&^%]|<<|>>)?=(?!=)|\s*(?:\+\+|--))?")
 _DEFINE = re.compile(r"(?m)^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)(\([^)]*\))?[ \t]*([^\n]*)")
-#: Calls that a review should look at, by language family.
-RISKY = {
-    "c": {"unsafe-libc": "strcpy strcat sprintf vsprintf gets scanf strtok", "command-exec": "system popen execl execlp execv execvp"},
-    "elisp": {"command-exec": "shell-command call-process start-process async-shell-command", "blocking-call": "sit-for sleep-for read-string y-or-n-p url-retrieve-synchronously", "eval": "eval load"},
-    "go": {"command-exec": "exec.Command", "panic": "panic", "exit": "os.Exit log.Fatal"},
-}
-_RISK_OF = {lang: {name: rule for rule, names in rules.items() for name in names.split()} for lang, rules in RISKY.items()}
+#: Calls that a review should look at in Go.
+RISKY = {"command-exec": "exec.Command", "panic": "panic", "exit": "os.Exit log.Fatal"}
+_RISK_OF = {name: rule for rule, names in RISKY.items() for name in names.split()}
+_COMMENT = re.compile(r"(?P<c>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`")
+_COMMENT_EL = re.compile(r"(?P<c>;[^\n]*)|\"(?:\\[\s\S]|[^\"\\])*\"|\?\\?.")
+_MARK = re.compile(r"\b(?:TODO|FIXME|XXX|HACK)\b", re.I)
+#: Facts that need the statements of functions.
+_OF_FUNCTIONS = ("flows", "variables", "states", "exits", "returns", "findings", "blocks", "parameters", "aliases", "exceptions")
 _EL_DEF = re.compile(r"\((defun|defsubst|defmacro|cl-defun|cl-defmethod|cl-defgeneric|defvar|defconst|defcustom|define-minor-mode)\s+'?([^\s()]+)")
 _EL_CALL = re.compile(r"\(([A-Za-z][^\s()\"';]*)")
 _EL_REQUIRE = re.compile(r"\(require\s+'([^\s()]+)")
@@ -61,14 +63,15 @@ def org_source(text: str) -> str:
     return "".join(out) + re.sub(r"[^\n]", " ", text[at:])
 
 
-def extract(text: str, path: str, lang: str) -> dict[str, list[dict]]:
-    """symbols, refs, deps, flows, fields, macros and findings of one file."""
+def extract(text: str, path: str, lang: str, want: str | None = None) -> dict[str, list[dict]]:
+    """All facts of one file, or with ``want`` at least those of one kind."""
     text = text.replace("\r\n", "\n").lstrip("﻿")
     if path.lower().endswith(".org"):
         text = org_source(text)
     code = blank(text, lang)
     line_of = _Lines(text)
     out: dict[str, list[dict]] = {"symbols": [], "refs": [], "deps": [], "flows": [], "fields": [], "macros": [], "findings": []}
+    out |= {k: [] for k in _OF_FUNCTIONS}
     spans: list[tuple[int, int, str]] = []
 
     def symbol(kind: str, name: str, a: int, b: int, parent: str = "") -> None:
@@ -76,8 +79,6 @@ def extract(text: str, path: str, lang: str) -> dict[str, list[dict]]:
         out["symbols"].append({"kind": kind, "name": name.rpartition("::")[2], "qname": q, "start_line": line_of(a), "end_line": line_of(max(a, b - 1)), "parent": parent})
         if kind in ("function", "method"):
             spans.append((a, b, q))
-            body = code[a:b]
-            out["flows"].append({"qname": q, "line": line_of(a), "cyclomatic": 1 + len(_DECISION.findall(body)), "lines": line_of(max(a, b - 1)) - line_of(a) + 1, "returns": len(re.findall(r"\breturn\b", body))})
 
     if lang == "elisp":
         for m in _EL_DEF.finditer(code):
@@ -123,17 +124,67 @@ def extract(text: str, path: str, lang: str) -> dict[str, list[dict]]:
             name = m.group(1)
             if name not in _NO_CALL:
                 out["refs"].append({"source": q, "kind": "call", "target": name, "line": line_of(m.start()), "note": ""})
-                if rule := _RISK_OF["c" if lang in ("c", "cpp") else lang].get(name):
+                if rule := _RISK_OF.get(name) if lang == "go" else None:
                     out["findings"].append({"qname": q, "rule": rule, "level": "medium", "line": line_of(m.start()), "detail": name})
         if lang in ("c", "cpp", "go"):
             for m in _FIELD.finditer(code, head, b):
                 out["fields"].append({"qname": q, "name": m.group(1), "access": "write" if m.group(2) else "read", "line": line_of(m.start())})
     if lang in ("c", "cpp"):
         for m in _DEFINE.finditer(code):
-            out["macros"].append({"name": m.group(1), "has_parameters": bool(m.group(2)), "body": text[m.start(3) : m.end(3)].strip()[:200], "line": line_of(m.start())})
+            out["macros"].append({"name": m.group(1), "has_parameters": bool(m.group(2)), "body": text[m.start(3) : m.end(3)].strip(), "line": line_of(m.start())})
+    if want is None or want in _OF_FUNCTIONS:
+        if lang == "elisp":
+            _lisp_functions(text, out)
+        else:
+            for a, b, q in spans:
+                _function(text, code, lang, a, b, q, line_of, out)
+    if want in (None, "findings"):
+        for m in (_COMMENT_EL if lang == "elisp" else _COMMENT).finditer(text):
+            if m.group("c") and _MARK.search(m.group("c")):
+                out["findings"].append({"qname": "", "rule": "todo-marker", "level": "low", "line": line_of(m.start()), "detail": " ".join(m.group("c").split())})
     return out
 
 
+def _function(text: str, code: str, lang: str, a: int, b: int, q: str, line_of, out: dict[str, list[dict]]) -> None:
+    """What follows from the statements of the function between two offsets."""
+    brace = code.find("{", a, b)
+    if brace < 0:
+        return
+    name = re.split(r"::|\.", q)[-1]
+    m = re.search(rf"{re.escape(name)}\s*(?:\[[^\]]*\])?\s*\(", code[a:brace])
+    opening = a + m.end() - 1 if m else code.find("(", a, brace)
+    params = statements.parameters(text[opening + 1 : close(code, opening, "(", ")") - 1], lang) if 0 <= opening < brace else []
+    first, last = line_of(a), line_of(max(a, b - 1))
+    body = statements.parse(text[brace + 1 : b], lang, line_of(brace + 1))
+    rows = statements.variables(body, params, first)
+    tag = lambda found: [{"qname": q, **r} for r in found]
+    out["flows"].append({"qname": q, "line": first, **statements.metrics(body, first, last)})
+    out["variables"] += tag(rows)
+    out["parameters"] += tag(params)
+    out["exits"] += tag(statements.exits(body))
+    out["returns"] += tag(statements.returns(body))
+    out["findings"] += tag(statements.risks(body, lang)) + tag(statements.config(body))
+    out["states"] += tag(statements.states(body, params, rows, lang))
+    out["aliases"] += tag(statements.aliases(rows, body))
+    out["blocks"] += tag(statements.blocks(body, first))
+
+
+def _lisp_functions(text: str, out: dict[str, list[dict]]) -> None:
+    shared = lisp.globals_of(text)
+    for q, definition, form, body in lisp.functions(text):
+        params = lisp.parameters(form)
+        tag = lambda found: [{"qname": q, **r} for r in found]
+        signals = lisp.exceptions(body)
+        out["flows"].append({"qname": q, "line": definition.line, **lisp.metrics(definition, body)})
+        out["variables"] += tag(lisp.variables(params, body, definition.line))
+        out["parameters"] += tag(params)
+        out["exceptions"] += tag(signals)
+        out["exits"] += tag({"kind": "signal", "detail": r["name"], "line": r["line"]} for r in signals if r["what"] == "raise" and not r["caught"])
+        out["findings"] += tag(lisp.risks(definition, body))
+        out["states"] += tag(lisp.states(params, body, shared))
+        out["blocks"] += tag(lisp.blocks(body, definition.line))
+
+
 class _Lines:
     def __init__(self, text: str):
         self.starts = [0, *[m.end() for m in re.finditer("\n", text)]]

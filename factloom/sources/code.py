@@ -22,6 +22,11 @@ _SCHEMAS = {
     "exceptions": "file_id string, qname string, what string, name string, line int, end_line int, caught boolean",
     "blocks": "file_id string, qname string, block int, start_line int, end_line int, to int, label string",
     "fields": "file_id string, qname string, name string, access string, line int",
+    "exits": "file_id string, qname string, kind string, detail string, line int",
+    "returns": "file_id string, qname string, value string, constant boolean, line int",
+    "parameters": "file_id string, qname string, position int, name string, type string",
+    "mutations": "file_id string, qname string, name string, how string, line int",
+    "aliases": "file_id string, qname string, name string, target string, line int",
     "keys": "file_id string, source string, kind string, key string, a string, b string, line int, name string, position int",
     "exports": "file_id string, module string, name string, target string",
     "macros": "file_id string, name string, has_parameters boolean, body string, line int",
@@ -43,7 +48,7 @@ def _run(batches: Iterator[pa.RecordBatch], what: str) -> Iterator[pa.RecordBatc
             elif lang == "python":
                 found = getattr(python_source.extract(text, path or "", what), what, [])
             else:
-                found = brace_source.extract(text, path or "", lang).get(what, [])
+                found = brace_source.extract(text, path or "", lang, what).get(what, [])
             rows += [{"file_id": i, **r} for r in found]
         yield pa.record_batch([pa.array([r.get(n) for r in rows], t) for n, t in columns], names=[n for n, _ in columns])
 

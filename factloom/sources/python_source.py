@@ -18,7 +18,7 @@ LOG_CALLS = frozenset("debug info warning warn error exception critical log prin
 #: Rules and their severities.
 RISKS = {
     "bare-except": "medium", "swallowed-exception": "medium", "mutable-default": "medium", "eval-exec": "high", "shell-true": "high",
-    "unsafe-deserialization": "high", "blocking-in-async": "medium", "broad-raise": "low", "todo-marker": "low",
+    "unsafe-deserialization": "medium", "blocking-in-async": "medium", "broad-raise": "low", "todo-marker": "low",
 }
 _BLOCKING = frozenset(["time.sleep", "requests.get", "requests.post", "subprocess.run", "subprocess.call", "open", "input", "os.system"])
 _UNSAFE = frozenset(["pickle.load", "pickle.loads", "marshal.loads", "yaml.load", "shelve.open"])
@@ -35,6 +35,9 @@ class Facts:
     states: list[dict] = field(default_factory=list)
     exceptions: list[dict] = field(default_factory=list)
     blocks: list[dict] = field(default_factory=list)
+    parameters: list[dict] = field(default_factory=list)
+    returns: list[dict] = field(default_factory=list)
+    mutations: list[dict] = field(default_factory=list)
     error: str | None = None
 
 
@@ -145,6 +148,12 @@ class _Walker(ast.NodeVisitor):
             self.out.exceptions += exceptions(node, q)
         if wants("blocks"):
             self.out.blocks += blocks(node, q)
+        if wants("parameters"):
+            self.out.parameters += parameters(node, q)
+        if wants("returns"):
+            self.out.returns += returns(own, q)
+        if wants("mutations"):
+            self.out.mutations += mutations(node, own, q)
         self.scope.append(("function", q))
         for x in node.body:
             self.visit(x)
@@ -309,8 +318,16 @@ def risks(node, qname: str, own: list[ast.AST]) -> list[dict]:
                 add("env-read", x.lineno, _literal(x.args))
             if n.endswith(".add_argument"):
                 add("cli-option", x.lineno, _literal(x.args))
+            if n in ("platform.system", "platform.machine", "sys.platform.startswith"):
+                add("env-platform", x.lineno, _literal(x.args) or n)
+            if n in ("shutil.which", "subprocess.run", "subprocess.call", "subprocess.Popen", "subprocess.check_output", "subprocess.check_call"):
+                first = x.args[0] if x.args else None
+                if tool := _literal([first.elts[0]] if isinstance(first, ast.List) and first.elts else [first] if first is not None else []):
+                    add("env-executable", x.lineno, tool.split()[0] if tool.split() else tool)
             if n in ("threading.Thread", "Thread", "multiprocessing.Process"):
                 add("boundary-thread", x.lineno, next((dotted(k.value) or "" for k in x.keywords if k.arg == "target"), ""))
+        elif isinstance(x, ast.Compare) and dotted(x.left) in ("sys.platform", "os.name"):
+            add("env-platform", x.lineno, _literal(x.comparators))
         elif isinstance(x, ast.Subscript) and dotted(x.value) in ("os.environ", "environ"):
             add("env-write" if isinstance(x.ctx, ast.Store) else "env-read", x.lineno, _literal([x.slice]))
     for d in node.decorator_list:
@@ -324,7 +341,8 @@ def risks(node, qname: str, own: list[ast.AST]) -> list[dict]:
     return out
 
 
-_MUTATORS = frozenset("append extend insert pop remove clear update add discard setdefault sort reverse popitem".split())
+#: Methods that change the object they are called on.
+_MUTATORS = frozenset("append extend add update pop remove clear insert setdefault discard sort reverse popitem appendleft extendleft popleft".split())
 
 
 def states(node, qname: str, own: list[ast.AST], owner: str, module: str) -> list[dict]:
@@ -342,6 +360,36 @@ def states(node, qname: str, own: list[ast.AST], owner: str, module: str) -> lis
     return out
 
 
+def parameters(node, qname: str) -> list[dict]:
+    """Rows (position, name, type): type is the kind of parameter, with annotation and default as written."""
+    a = node.args
+    plain = [*a.posonlyargs, *a.args]
+    defaults = [None] * (len(plain) - len(a.defaults)) + list(a.defaults)
+    found = [(x, d, "positional") for x, d in zip(plain, defaults)] + [(x, None, "*args") for x in filter(None, [a.vararg])]
+    found += [(x, d, "keyword-only") for x, d in zip(a.kwonlyargs, a.kw_defaults)] + [(x, None, "**kwargs") for x in filter(None, [a.kwarg])]
+    shown = lambda x, d: (": " + ast.unparse(x.annotation) if x.annotation is not None else "") + (" = " + ast.unparse(d) if d is not None else "")
+    return [{"qname": qname, "position": k, "name": x.arg, "type": kind + shown(x, d)} for k, (x, d, kind) in enumerate(found)]
+
+
+def returns(own: list[ast.AST], qname: str) -> list[dict]:
+    """Rows (value, constant, line) of the returns, in order."""
+    found = [x for x in own if isinstance(x, ast.Return)]
+    return [{"qname": qname, "value": ast.unparse(x.value) if x.value is not None else "None", "constant": x.value is None or isinstance(x.value, ast.Constant), "line": x.lineno} for x in sorted(found, key=lambda x: (x.lineno, x.col_offset))]
+
+
+def mutations(node, own: list[ast.AST], qname: str) -> list[dict]:
+    """Rows (name, how, line): parameters that the function changes, by a method or by writing an attribute or item."""
+    names = {x.arg for x in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs, *filter(None, [node.args.vararg, node.args.kwarg])]} - {"self", "cls"}
+    out = set()
+    for x in own:
+        if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr in _MUTATORS and isinstance(x.func.value, ast.Name) and x.func.value.id in names:
+            out.add((x.lineno, x.func.value.id, x.func.attr + "()"))
+        for t in x.targets if isinstance(x, (ast.Assign, ast.Delete)) else [x.target] if isinstance(x, (ast.AugAssign, ast.AnnAssign)) else ():
+            if isinstance(t, (ast.Attribute, ast.Subscript)) and isinstance(t.value, ast.Name) and t.value.id in names:
+                out.add((x.lineno, t.value.id, ast.unparse(t)))
+    return [{"qname": qname, "name": n, "how": how, "line": line} for line, n, how in sorted(out)]
+
+
 def exceptions(node, qname: str) -> list[dict]:
     """raise rows with whether the function catches them itself, and guard rows: line ranges of try bodies with what they catch.
 
@@ -464,5 +512,5 @@ def extract(text: str, path: str, want: str | None = None) -> Facts:
     for i, line in enumerate(lines if want in (None, "findings") else (), 1):
         at = line.find("#")
         if at >= 0 and any(m in line[at:].upper() for m in ("TODO", "FIXME", "XXX", "HACK")):
-            w.out.findings.append({"qname": w.module, "rule": "todo-marker", "level": "low", "line": i, "detail": line[at:].strip()[:120]})
+            w.out.findings.append({"qname": w.module, "rule": "todo-marker", "level": "low", "line": i, "detail": line[at:].strip()})
     return w.out
