@@ -2,8 +2,8 @@
 
 Method: swap-based local search. Each shard is packed best-fit by falling size; then the emptiest
 bins are worked on: documents are moved into gaps, exchanged one for one or two for one between underfull
-bins whenever that raises the sum of the squared fills, until bins run empty. What stays underfull in
-all shards is pooled and packed once more. Shards are equal parts of the rows, so no task grows with the input.
+bins whenever that raises the sum of the squared fills, until bins run empty and a round gains too little. What stays underfull in
+all shards is pooled and packed again, until one shard holds all of it or a pass no longer helps. Shards are equal parts of the rows, so no task grows with the input.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from factloom.session import Scratch
 SHARD_ITEMS = 20_000
 #: A bin filled to this share is not worked on again.
 FULL_SHARE = 0.98
-#: Rounds of local search over the underfull bins of a shard; each ends early if nothing improves.
-ROUNDS = 4
+#: Local search goes on while a round raises the sum of squared fills by more than this share.
+LEAST_GAIN = 1e-4
+#: Passes over the pooled underfull bins go on while each leaves less than this share of the rows before it underfull, or until one shard holds all.
+LEAST_DROP = 0.9
 
 
 class Bins:
@@ -63,11 +65,18 @@ class Bins:
                 self.add(item)
 
     def improve(self, full: int) -> None:
-        """Raise the sum of squared fills by moves, 1:1 and 2:1 exchanges between underfull bins."""
-        for _ in range(ROUNDS):
+        """Raise the sum of squared fills by moves, 1:1 and 2:1 exchanges between underfull bins, until a round gains too little."""
+        squares = self._squares()
+        while True:
             low = [b for free, b in reversed(self.order) if free > full and self.items[b]]
             if len(low) < 2 or not any([self._work(b, full) for b in low]):
                 return
+            before, squares = squares, self._squares()
+            if squares - before <= LEAST_GAIN * before:
+                return
+
+    def _squares(self) -> int:
+        return sum((self.capacity - free) ** 2 for free in self.free)
 
     def _work(self, b: int, full: int) -> bool:
         """Move what bin b holds into fuller bins, directly or by exchanges that close their gaps."""
@@ -86,7 +95,7 @@ class Bins:
     def _exchange(self, b: int, full: int) -> bool:
         changed = False
         lo = bisect_left(self.order, (full + 1, -1))
-        others = [x for free, x in self.order[lo : lo + 64] if x != b and self.items[x] and self.free[x] <= self.free[b]]
+        others = [x for free, x in self.order[lo:] if x != b and self.items[x] and self.free[x] <= self.free[b]]
         for x in others:
             gap = self.free[x]
             best = None  # (gain, what leaves b, what leaves x)
@@ -186,14 +195,20 @@ def pack_documents(documents: DataFrame, budgets: DataFrame, name: str = "byte_b
     loose = wide.where((F.col("n_tokens") == 0) | (rest > 0)).select("budget_id", "capacity_tokens", "doc_id", whole.alias("piece"), rest.alias("n_tokens"))
     n = counts.count()
     shards = max(1, -(-n // shard_items))
-    first = scratch.save(loose.repartition(shards).mapInPandas(lambda b: _pack_shard(b, "a"), _SCHEMA))
-    if shards == 1:
-        packed = first
-    else:
-        low = first.where(F.col("fill") < F.col("capacity_tokens") * FULL_SHARE)
-        again = max(1, -(-low.count() // (shard_items * len(kinds))))
-        second = low.select("budget_id", "capacity_tokens", "doc_id", "piece", "n_tokens").repartition(again).mapInPandas(lambda b: _pack_shard(b, "b"), _SCHEMA)
-        packed = first.where(F.col("fill") >= F.col("capacity_tokens") * FULL_SHARE).unionByName(second)
+    low, done, before, k = scratch.save(loose.repartition(shards).mapInPandas(lambda b: _pack_shard(b, "a0-"), _SCHEMA)), [], None, 0
+    under = F.col("fill") < F.col("capacity_tokens") * FULL_SHARE
+    while True:
+        m = low.where(under).count()
+        done.append(low.where(~under))
+        if not m or before is not None and (shards == 1 or m >= LEAST_DROP * before):
+            done.append(low.where(under))
+            break
+        before, k, shards = m, k + 1, max(1, -(-m // (shard_items * len(kinds))))
+        again = low.where(under).select("budget_id", "capacity_tokens", "doc_id", "piece", "n_tokens").repartition(shards)
+        low = scratch.save(again.mapInPandas(lambda b, k=k: _pack_shard(b, f"a{k}-"), _SCHEMA))
+    packed = done[0]
+    for d in done[1:]:
+        packed = packed.unionByName(d)
     return full.unionByName(packed.select(*full.columns))
 
 
@@ -201,6 +216,6 @@ def fill_report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
     """(budget_id, n_containers, n_tokens, least, fill): containers used, the least number that could hold the tokens, and the share filled."""
     per = packed.groupBy("budget_id").agg(F.count_distinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
     caps = budgets.groupBy("budget_id").agg(F.max("capacity_tokens").cast("long").alias("capacity"))
-    return per.join(F.broadcast(caps), "budget_id").select(
+    return per.join(caps, "budget_id").select(
         "budget_id", "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least"), (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))).alias("fill")
     )
