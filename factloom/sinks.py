@@ -21,6 +21,13 @@ def cascade(project_id: str, tables: dict[str, DataFrame], files: DataFrame) ->
     return out
 
 
+def replace_imported(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``old`` without earlier imports of what ``new`` brings, with ``new``: the same input (source_sha256), or the same tool and source_name."""
+    same_input = new.select("source_sha256").where(F.col("source_sha256").isNotNull()).distinct()
+    same_source = new.select("tool", "source_name").distinct()
+    return old.join(same_input, "source_sha256", "left_anti").join(same_source, ["tool", "source_name"], "left_anti").unionByName(new)
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether there is anything at ``path``. Any other failure to look is raised, as taking it for an empty table would lose rows."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -86,3 +93,50 @@ def dot(edges: DataFrame, limit: int = 2_000) -> str:
 def graph_json(edges: DataFrame, limit: int = 2_000) -> str:
     rows = _collected(edges, limit)
     return json.dumps({"schema": "graph/1", "nodes": sorted({r.src for r in rows} | {r.dst for r in rows}), "edges": [r.asDict() for r in rows]}, sort_keys=True)
+
+
+def _fence(lines: list[str]) -> str:
+    """A fence longer than any run of backticks in the lines."""
+    longest = run = 0
+    for c in "\n".join(lines):
+        run = run + 1 if c == "`" else 0
+        longest = max(longest, run)
+    return "`" * max(3, longest + 1)
+
+
+def extract_markdown(items: DataFrame, lines: DataFrame, limit: int = 200) -> str:
+    """Extracted functions as Markdown: items (rank, sid, qname, path, start_line, end_line, distance, parent) by rank, each with its lines (sid, line, text).
+
+    An extract is small by nature; one of more than ``limit`` items is refused rather than cut.
+    """
+    rows = items.orderBy("rank").take(limit + 1)
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} items; restrict the extract first")
+    code: dict[str, list] = {}
+    for r in lines.join(items.select("sid"), "sid", "left_semi").orderBy("sid", "line").toLocalIterator():
+        code.setdefault(r.sid, []).append(f"{r.line} | {r.text}")
+    out = ["| # | function | place | depth | from |", "| --- | --- | --- | --- | --- |"]
+    out += [f"| {k} | `{r.qname}` | `{r.path}:{r.start_line}-{r.end_line}` | {r.distance} | {r.parent or ''} |" for k, r in enumerate(rows, 1)]
+    for k, r in enumerate(rows, 1):
+        body = code.get(r.sid, [])
+        fence = _fence(body)
+        out += ["", f"## {k}. {r.qname}", "", f"`{r.path}:{r.start_line}-{r.end_line}`", *(["", fence, *body, fence] if body else [])]
+    return "\n".join(out) + "\n"
+
+
+def tree_text(paths: DataFrame, limit: int = 5_000) -> str:
+    """Directories, files and symbols as an indented tree: paths (path, symbol, start_line), symbol null for the file alone. Larger trees are refused."""
+    rows = paths.select("path", "symbol", "start_line").distinct().orderBy("path", F.asc_nulls_first("start_line"), F.asc_nulls_first("symbol")).take(limit + 1)
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; restrict the tree first")
+    out, shown = [], set()
+    for r in rows:
+        parts = r.path.split("/")
+        for k in range(len(parts)):
+            at = "/".join(parts[: k + 1])
+            if at not in shown:
+                shown.add(at)
+                out.append("  " * k + parts[k] + ("/" if k < len(parts) - 1 else ""))
+        if r.symbol is not None:
+            out.append("  " * len(parts) + r.symbol)
+    return "\n".join(out) + "\n"

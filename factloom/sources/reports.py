@@ -118,10 +118,28 @@ def git_log(logs: DataFrame) -> DataFrame:
     block = logs.select(F.explode(F.split("text", "\u0001")).alias("b")).where(F.length("b") > 0)
     rows = F.split("b", "\n")
     head = F.split(rows[0], "\u0002")
-    out = block.select(head[0].alias("commit"), F.try_element_at(head, F.lit(2)).alias("author"), F.try_element_at(head, F.lit(3)).alias("day"), F.explode(F.slice(rows, 2, 1_000_000)).alias("path"))
+    out = block.select(head[0].alias("commit"), F.try_element_at(head, F.lit(2)).alias("author"), F.try_element_at(head, F.lit(3)).alias("day"), F.explode(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))).alias("path"))
     return out.where(F.length("path") > 0)
 
 
+def git_lines(logs: DataFrame) -> DataFrame:
+    """(path, start, end, rank, commit, author, day, subject) of the commits that touched a range of lines, newest first at rank 0.
+
+    logs: (path, start, end, text) with the output of ``git log -s -L start,end:path --date=short --format=%x01%H%x02%an%x02%ad%x02%s``.
+    """
+    block = logs.select("path", "start", "end", F.posexplode(F.filter(F.split("text", "\u0001"), lambda b: F.length(F.trim(b)) > 0)).alias("rank", "b"))
+    part = F.split(F.regexp_replace("b", r"\s+$", ""), "\u0002")
+    named = [F.try_element_at(part, F.lit(k)).alias(n) for k, n in enumerate(("commit", "author", "day", "subject"), 1)]
+    return block.select("path", "start", "end", "rank", *named)
+
+
+def observed_of(observed: DataFrame, run_id: str | None = None, kind: str | None = None) -> DataFrame:
+    """Observations of one run, of one kind, or both, in a fixed order."""
+    out = observed if run_id is None else observed.where(F.col("run_id") == run_id)
+    out = out if kind is None else out.where(F.col("kind") == kind)
+    return out.orderBy("run_id", "kind", "subject", F.asc_nulls_first("object"), F.asc_nulls_first("line"))
+
+
 # -- SCIP: the wire format of protocol buffers ------------------------------------------------------------------------
 
 
