@@ -9,15 +9,17 @@ from factloom.operators.graph import bfs
 from factloom.session import Scratch
 
 
-def exception_flow(exceptions: DataFrame, calls: DataFrame, depth: int = 5) -> DataFrame:
+def exception_flow(exceptions: DataFrame, calls: DataFrame, depth: int = 5, bases: DataFrame | None = None) -> DataFrame:
     """(qname, exception, origin, line, distance): exceptions that leave each function, its own at distance 0.
 
     exceptions: rows (qname, what, name, line, end_line, caught) of raises and guards; calls: (source, target, line) of resolved calls. An exception passes a
-    call unless a try of the caller around the call's line catches its name, everything, Exception or BaseException. Each (function, exception,
-    origin, line) is kept at its least distance, whatever the order in which functions are visited.
+    call unless a try of the caller around the call's line catches its name, one of its ``bases`` (name, base), everything, Exception or BaseException. Each
+    (function, exception, origin, line) is kept at its least distance, whatever the order in which functions are visited.
     """
     scratch = Scratch(exceptions.sparkSession, "exceptions")
     own = exceptions.where((F.col("what") == "raise") & ~F.col("caught")).select("qname", F.col("name").alias("exception"), F.col("qname").alias("origin"), "line").distinct()
+    if bases is not None:  # an exception that a base of it would catch where it is raised stays in the extractor's hands
+        kinds = scratch.save(bases.groupBy(F.col("name").alias("exception")).agg(F.collect_set("base").alias("above")))
     layer = scratch.save(own.withColumn("distance", F.lit(0)))
     # a call passes what no guard around it catches: the names caught at each call, collected per call site
     guard = exceptions.where(F.col("what") == "guard").select(F.col("qname").alias("source"), F.col("name").alias("catches"), F.col("line").alias("a"), F.col("end_line").alias("b"))
@@ -28,7 +30,8 @@ def exception_flow(exceptions: DataFrame, calls: DataFrame, depth: int = 5) -> D
     while k < depth and not layer.isEmpty():
         k += 1
         up = layer.select(F.col("qname").alias("target"), "exception", "origin", "line").join(sites, "target")
-        passes = ~(F.array_contains("catches", F.col("exception")) | F.arrays_overlap("catches", F.array(F.lit("*"), F.lit("Exception"), F.lit("BaseException"))))
+        up = up.withColumn("above", F.array().cast("array<string>")) if bases is None else up.join(kinds, "exception", "left").withColumn("above", F.coalesce("above", F.array().cast("array<string>")))
+        passes = ~(F.array_contains("catches", F.col("exception")) | F.arrays_overlap("catches", "above") | F.arrays_overlap("catches", F.array(F.lit("*"), F.lit("Exception"), F.lit("BaseException"))))
         up = up.where(passes).select(F.col("source").alias("qname"), "exception", "origin", "line").distinct()
         layer = scratch.save(up.join(out, ["qname", "exception", "origin", "line"], "left_anti").withColumn("distance", F.lit(k)))
         out = out.unionByName(layer)
@@ -47,10 +50,13 @@ def value_edges(variables: DataFrame) -> DataFrame:
     bound = params.where((F.col("k") == 0) & F.col("name").isin("self", "cls")).select("qname", F.lit(1).alias("shift"))
     params = params.join(bound, "qname", "left").select("qname", "name", (F.col("k") - F.coalesce("shift", F.lit(0))).alias("k"))
     names = params.select("qname").union(variables.select("qname")).distinct()
-    keys = names.select("qname", F.explode(F.array_union(F.array("qname"), suffixes(F.col("qname")))).alias("callee"))
+    # a class is called for its __init__
+    shown = F.array_union(F.array("qname"), F.when(F.col("qname").endswith(".__init__"), F.array(F.regexp_replace("qname", r"\.__init__$", ""))).otherwise(F.array().cast("array<string>")))
+    keys = names.select("qname", F.explode(shown).alias("shown")).select("qname", F.explode(F.array_union(F.array("shown"), suffixes(F.col("shown")))).alias("callee")).distinct()
     one = keys.groupBy("callee").agg(F.min("qname").alias("q"), F.count(F.lit(1)).alias("n")).where(F.col("n") == 1).select("callee", "q")
-    args = variables.where(F.col("how") == "call_arg").select("qname", "name", F.regexp_replace(F.regexp_extract("to", r"^(.*)#\d+$", 1), r"^(self|cls)\.", "").alias("callee"), F.regexp_extract("to", r"#(\d+)$", 1).cast("int").alias("k"))
-    over = args.join(one, "callee").join(params.select(F.col("qname").alias("q"), F.col("name").alias("param"), "k"), ["q", "k"])
+    args = variables.where(F.col("how") == "call_arg").select("qname", "name", F.regexp_replace(F.regexp_extract("to", r"^(.*)#\w+$", 1), r"^(self|cls)\.", "").alias("callee"), F.regexp_extract("to", r"#(\w+)$", 1).alias("at")).join(one, "callee")
+    formal = params.select(F.col("qname").alias("q"), F.col("name").alias("param"), F.col("k").cast("string").alias("at"))
+    over = args.join(formal, ["q", "at"]).unionByName(args.where(F.col("at").rlike(r"^[^\d]")).join(formal.drop("at").withColumn("at", F.col("param")), ["q", "at"]))
     return inner.unionByName(over.select(node(F.col("qname"), F.col("name")).alias("src"), node(F.col("q"), F.col("param")).alias("dst"))).distinct()
 
 

@@ -235,9 +235,10 @@ def _trim(rest: DataFrame, scratch: Scratch) -> DataFrame:
     while n:
         heads, tails = rest.select(F.col("dst").alias("src")).distinct(), rest.select(F.col("src").alias("dst")).distinct()
         kept, m = scratch.save_counted(rest.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst"))
-        if m == n:
-            return kept
-        rest, n = kept, m
+        scratch.drop(rest)
+        rest, done, n = kept, m == n, m
+        if done:
+            break
     return rest
 
 
@@ -252,7 +253,9 @@ def _raised(state: DataFrame, edges: DataFrame, scratch: Scratch, step: int) ->
         offers = fresh.join(edges, "node").select(F.col("next").alias("node"), "offer")
         offers = offers.groupBy("node").agg(F.max("offer").alias("offer"))
         rose = F.coalesce(F.col("offer") > F.col("value"), F.lit(False))
-        state, n = scratch.save_counted(state.drop("rose").join(offers, "node", "left").select("node", F.when(rose, F.col("offer")).otherwise(F.col("value")).alias("value"), rose.alias("rose")), F.col("rose"))
+        old = state
+        state, n = scratch.save_counted(old.drop("rose").join(offers, "node", "left").select("node", F.when(rose, F.col("offer")).otherwise(F.col("value")).alias("value"), rose.alias("rose")), F.col("rose"))
+        scratch.drop(old)
         if not n:
             return state.drop("rose")
 

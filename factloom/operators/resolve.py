@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.functions.text import suffixes
+from factloom.operators.skew import balanced_left_join
+from factloom.session import Scratch
 
 
 def resolve_dependencies(deps: DataFrame, files: DataFrame) -> DataFrame:
@@ -42,19 +44,22 @@ def _best(hits: DataFrame, key: list[str], value: str) -> DataFrame:
 def resolve_references(refs: DataFrame, symbols: DataFrame, deps: DataFrame | None = None) -> DataFrame:
     """refs (file_id, source, kind, target, line, note) with (target_id, status, confidence, reason) added.
 
-    symbols: (sid, qname, name, kind, decorators). Tiers: exact qualified name; the only qualified name that ends in the target (inferred); the longest
-    prefix of the target that is defined, which then says that a member is missing; external where the top name belongs to no definition.
-    A decorated target is only inferred, except in inheritance. Builtins are external. Declarations yield to definitions.
+    symbols: (sid, qname, name, kind, decorators). Tiers: exact qualified name; the only qualified name that ends in the target (inferred); unresolved where
+    the top name belongs to a definition, else external. A decorated target is only inferred, except in inheritance. Builtins are external.
+    Declarations yield to definitions. Hot names go by broadcast and null hits are spread. operators.tiers resolves by the kind of key instead.
     """
     decl = F.coalesce(F.col("kind").endswith("declaration"), F.lit(False))
     s = symbols.where(F.col("kind") != "local_variable").select("sid", "qname", decl.cast("int").alias("decl"), (F.coalesce(F.size("decorators"), F.lit(0)) > 0).alias("decorated"))
     exact = s.select(F.col("qname").alias("target"), F.col("decl").alias("tier"), "sid")
     tails = s.select(F.explode(suffixes(F.col("qname"))).alias("target"), (F.col("decl") + 2).alias("tier"), "sid")
     found = _best(exact.unionByName(tails), ["target"], "sid")
-    r = refs.join(found, "target", "left").join(s.select(F.col("sid").alias("hit"), "decorated"), "hit", "left")
+    scratch = Scratch(refs.sparkSession, "resolve")
+    found = scratch.save(found.join(s.groupBy(F.col("sid").alias("hit")).agg(F.max("decorated").alias("decorated")), "hit", "left"))
+    refs = scratch.save(refs)
+    r = balanced_left_join(refs, found, "target", "line", scratch)
     parts = F.split("target", r"::|\.")
     tops = symbols.select(F.split("qname", r"::|\.")[0].alias("top")).union(symbols.select(F.col("name"))).where(F.col("top").isNotNull()).distinct().withColumn("known", F.lit(True))
-    r = r.withColumn("top", parts[0]).join(tops, "top", "left")
+    r = balanced_left_join(scratch.save(r.withColumn("top", parts[0])), tops, "top", "line", scratch)
     status = (
         F.when(F.length("target") == 0, "unresolved").when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").when(F.col("note") == "builtin", "external").when(F.col("known"), "unresolved").otherwise("external")
     )

@@ -236,3 +236,17 @@ ORACLE["g_layers"] = f"""WITH RECURSIVE {_DEP}, {_FE}, {_CLOSED.format(e='fe')},
   dag AS (SELECT DISTINCT x.component AS a, y.component AS b FROM fe JOIN cp x ON src = x.node JOIN cp y ON dst = y.node WHERE x.component <> y.component),
   lv AS (SELECT DISTINCT component, 0 AS l FROM cp UNION SELECT a, l + 1 FROM lv JOIN dag ON b = component)
   SELECT node, cp.component, CAST(max(l) AS INT) AS level FROM cp JOIN lv ON cp.component = lv.component GROUP BY 1, 2"""
+
+
+def _exception_bases(f: Facts) -> DataFrame:
+    """(name, base): the builtin exceptions with their bases, by Python's own classes, and the project's classes with theirs, direct or not."""
+    import builtins
+
+    from factloom.sources.python_source import builtin_bases
+
+    known = [(n, b) for n in dir(builtins) for b in builtin_bases(n)[1:]]
+    return f.spark.createDataFrame(known, "name string, base string").unionByName(more.base_names(f).select("name", "base")).distinct()
+
+
+add("g_exc_propagate", lambda f: functions.exception_flow(_code("exceptions", "python")(f), _known(f, "python").select("source", "target", "line"), bases=_exception_bases(f)))
+add("o_refs_in_order", lambda f: f.refs_of("file_id", "start_line", "tname").orderBy("file_id", "start_line", "tname", "reference_id"), "SELECT reference_id, file_id, start_line, tname FROM rf ORDER BY file_id, start_line, tname NULLS FIRST, reference_id", _REF)

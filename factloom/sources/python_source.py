@@ -272,6 +272,9 @@ def variables(node, qname: str, own: list[ast.AST]) -> list[dict]:
             for k, a in enumerate(x.args):
                 for r in read(a):
                     add("flow", r, "call_arg", x.lineno, f"{dotted(x.func) or '?'}#{k}")
+            for k in x.keywords:
+                for r in read(k.value) if k.arg else ():
+                    add("flow", r, "call_arg", x.lineno, f"{dotted(x.func) or '?'}#{k.arg}")
         elif isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load):
             add("use", x.id, "read", x.lineno)
         for t in targets:
@@ -390,6 +393,12 @@ def mutations(node, own: list[ast.AST], qname: str) -> list[dict]:
     return [{"qname": qname, "name": n, "how": how, "line": line} for line, n, how in sorted(out)]
 
 
+def builtin_bases(name: str) -> tuple[str, ...]:
+    """The name, and of a builtin exception the names of its bases."""
+    kind = getattr(builtins, name, None)
+    return (name, *(c.__name__ for c in kind.__mro__[1:-1])) if isinstance(kind, type) and issubclass(kind, BaseException) else (name,)
+
+
 def exceptions(node, qname: str) -> list[dict]:
     """raise rows with whether the function catches them itself, and guard rows: line ranges of try bodies with what they catch.
 
@@ -408,7 +417,7 @@ def exceptions(node, qname: str) -> list[dict]:
             if isinstance(x, ast.Raise):
                 name = dotted(x.exc.func if isinstance(x.exc, ast.Call) else x.exc) if x.exc is not None else None
                 name = (name or "?").rpartition(".")[2]
-                own = any(c in (name, "*", "Exception", "BaseException") for g in guards for c in g)
+                own = any(c in ("*", "Exception", "BaseException", *builtin_bases(name)) for g in guards for c in g)
                 out.append({"qname": qname, "what": "raise", "name": name, "line": x.lineno, "end_line": x.lineno, "caught": own})
             if isinstance(x, ast.Try):
                 names = [c for h in x.handlers for c in caught(h)]

@@ -166,3 +166,18 @@ def test_settings_and_catches(spark):
     p = spark.createDataFrame([("f", "def", "a", "param", 1, "0"), ("g", "def", "p", "param", 1, "0"), ("f", "flow", "a", "call_arg", 2, "g#0")], "qname string, what string, name string, how string, line int, to string")
     al = spark.createDataFrame([("g", "q", "p", 2), ("g", "r", "s[1]", 2)], "qname string, name string, target string, line int")
     assert {tuple(r) for r in functions.pointer_trace(p, al, spark.createDataFrame([("f:a",)], "node string"), 4).collect()} == {("f:a", 0), ("g:p", 1), ("g:q", 2)}
+
+
+def test_exceptions_pass_bases_and_keywords(spark):
+    text = "class Deep(LookupError):\n    pass\ndef low():\n    raise KeyError('x')\ndef own():\n    try:\n        raise KeyError('x')\n    except LookupError:\n        pass\ndef mid():\n    try:\n        low()\n    except LookupError:\n        return 1\ndef top():\n    low()\n"
+    got = python_source.extract(text, "m.py")
+    e = spark.createDataFrame([(x["qname"], x["what"], x["name"], x["line"], x["end_line"], x["caught"]) for x in got.exceptions], "qname string, what string, name string, line int, end_line int, caught boolean")
+    c = spark.createDataFrame([("m.mid", "m.low", 12), ("m.top", "m.low", 16)], "source string, target string, line int")
+    b = spark.createDataFrame([("KeyError", x) for x in python_source.builtin_bases("KeyError")[1:]], "name string, base string")
+    assert python_source.builtin_bases("KeyError") == ("KeyError", "LookupError", "Exception", "BaseException") and python_source.builtin_bases("Deep") == ("Deep",)
+    assert {(r.qname, r.distance) for r in functions.exception_flow(e, c, bases=b).collect()} == {("m.low", 0), ("m.top", 1)}
+    assert {(r.qname, r.distance) for r in functions.exception_flow(e, c).collect()} == {("m.low", 0), ("m.top", 1), ("m.mid", 1)}
+    text = "class A:\n    def __init__(self, size, label=None):\n        self.size = size\ndef make(n, name):\n    return A(n, label=name)\n"
+    rows = [(x["qname"], x["what"], x["name"], x["how"], x["line"], x["to"]) for x in python_source.extract(text, "m.py").variables]
+    v = spark.createDataFrame(rows, "qname string, what string, name string, how string, line int, to string")
+    assert {("m.make:n", "m.A.__init__:size"), ("m.make:name", "m.A.__init__:label")} <= {tuple(r) for r in functions.value_edges(v).collect()}
