@@ -254,7 +254,7 @@ def _raised(state: DataFrame, edges: DataFrame, scratch: Scratch, step: int) ->
         offers = offers.groupBy("node").agg(F.max("offer").alias("offer"))
         rose = F.coalesce(F.col("offer") > F.col("value"), F.lit(False))
         old = state
-        state, n = scratch.save_counted(old.drop("rose").join(offers, "node", "left").select("node", F.when(rose, F.col("offer")).otherwise(F.col("value")).alias("value"), rose.alias("rose")), F.col("rose"))
+        state, n = scratch.save_counted(old.drop("rose").join(offers, "node", "left").select("node", F.when(rose, F.col("offer")).otherwise(F.col("value")).alias("value"), rose.alias("rose")), "rose")
         scratch.drop(old)
         if not n:
             return state.drop("rose")

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, memory: str = "8g", app: str = "factloom") -> SparkSession:
@@ -75,14 +75,10 @@ class Scratch:
         self._paths[id(out)] = path
         return out
 
-    def save_counted(self, df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
-        """The written table and the number of its rows, or of those for which ``which`` holds, counted as they are written.
-
-        A task that runs again may be counted twice, so that only whether the number is 0 is exact.
-        """
-        seen = Observation()
-        out = self.save(df.observe(seen, (F.count(F.lit(1)) if which is None else F.count_if(which)).alias("n")))
-        return out, seen.get["n"]
+    def save_counted(self, df: DataFrame, which: str | None = None) -> tuple[DataFrame, int]:
+        """The written table and the number of its rows, which Parquet's footers tell; with ``which``, a boolean column, whether it holds anywhere (0 or 1)."""
+        out = self.save(df)
+        return out, out.count() if which is None else int(not out.where(which).isEmpty())
 
     def drop(self, df: DataFrame | None) -> None:
         path = self._paths.pop(id(df), None)
