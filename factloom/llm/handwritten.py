@@ -49,9 +49,6 @@ _LEX = {
     "slash": re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|R\"([^()\\\s\"]{0,16})\([\s\S]*?(?:\)\1\"|\Z)|\"(?:\\[\s\S]|[^\"\\\n])*\"?|(?<![0-9A-Za-z_])'(?:\\[\s\S]|[^'\\\n])*'?|`[^`]*(?:`|\Z)"),
 }
 
-#: Lines at either end of a file in which a notice of a foreign origin counts, and one that a program wrote the file if in a docstring.
-NOTICE_LINES = 8
-
 
 def family(path: str) -> str:
     ext = path.rsplit(".", 1)[-1].lower()
@@ -62,9 +59,9 @@ def ends(text: str) -> tuple[list[str], list[str], list[str]]:
     """(comment lines at the start, lines between, comment lines at the end)."""
     lines = text.replace("\r\n", "\n").replace("\r", "\n").lstrip("﻿").split("\n")
     a, b = 0, len(lines)
-    while a < b and a < 40 and _HEAD_LINE.match(lines[a]):
+    while a < b and _HEAD_LINE.match(lines[a]):
         a += 1
-    while b > a and b > len(lines) - 12 and _HEAD_LINE.match(lines[b - 1]):
+    while b > a and _HEAD_LINE.match(lines[b - 1]):
         b -= 1
     return lines[:a], lines[a:b], lines[b:]
 
@@ -220,9 +217,9 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, path, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             path, kind = path or "", family(path or "")
             head, body, tail = ends(text)
-            first = [x for x in head if x.strip()][:NOTICE_LINES]
+            first = [x for x in head if x.strip()]
             hinted = may_state_generated(text)
-            notice = hinted and (any(map(states_generated, first)) or any(map(states_generated, tail[-NOTICE_LINES:])))
+            notice = hinted and (any(map(states_generated, first)) or any(map(states_generated, tail)))
             said = stated([*head, *body, *tail], kind) if hinted else set()
             notice = notice or bool(said)
             body = [x for k, x in enumerate(body, len(head)) if k not in said]

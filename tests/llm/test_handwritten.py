@@ -87,3 +87,28 @@ def test_notice_between_lines_of_code(path, mark, text):
     assert with_notice["notice"] and with_notice["label"] == 1 and not without["notice"]
     assert with_notice["features"] == without["features"]
     assert not look(body + "y = 1 " + notice + body)["notice"]
+
+
+def test_long_heads_and_tails_are_read_whole():
+    import pyarrow as pa
+
+    def look(content):
+        return next(h._look(iter([pa.record_batch([pa.array(["1"]), pa.array(["a.c"]), pa.array([content])], names=["a", "b", "c"])]))).to_pylist()[0]
+
+    head = "".join(f"// line {k} of a long licence text\n" for k in range(60))
+    code = "int f(int a)\n{\n  return a;\n}\n"
+    assert look(head + "// Vendored from zlib2 1.0.\n" + code)["origin"] == "zlib2" and look(head + code)["origin"] is None
+    assert look(head + "// @generated\n" + code)["notice"] and look(code + head + "// Code generated by x. DO NOT EDIT.\n")["notice"]
+    assert look(head + code)["features"] == look(head[: len(head) // 2] + code)["features"] or look(head + code)["label"] == 0
+    assert look("  \n")["blank"] and not look(code)["blank"]
+
+
+def test_labels_are_hidden_from_the_features():
+    import pyarrow as pa
+
+    def look(path, content):
+        return next(h._look(iter([pa.record_batch([pa.array(["1"]), pa.array([path]), pa.array([content])], names=["a", "b", "c"])]))).to_pylist()[0]
+
+    data = "x = [\n" + "  1, 2, 3, 4,\n" * 200 + "]\n"
+    assert look("a.py", "# Rows.\n" + data)["label"] == 0 and look("a.min.py", data)["label"] == 1 and look("a.py", data)["label"] is None
+    assert look("a.min.py", data)["features"] == look("a.py", data)["features"]
