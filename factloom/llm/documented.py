@@ -13,11 +13,11 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from factloom.functions.text import clean_id, trim_blanks
 from factloom.llm.notices import states_generated
-from factloom.session import spread
+from factloom.session import Scratch, spread
 from factloom.sources.tables import latest_files
 
 #: Lines of a file whose symbols are handled together; bounds what is collected for one row.
@@ -291,7 +291,7 @@ def _rows(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordB
                 declares = s["kind"].endswith("declaration")
                 name, qualified = s["name"] or "", s["qualified_name"] or ""
                 says = says_something(doc, name, qualified, params)
-                if not (says or whole and lang in ("c", "cpp")):
+                if not (says or lang in ("c", "cpp")):
                     continue
                 doc = doc.replace("\r\n", "\n").replace("\r", "\n").strip() if says and whole else None
                 for column, v in zip(out, (s["sid"], s["symbol_id"], project, lang, qualified or name, s["kind"], types, declares, doc, code if whole else None, says)):
@@ -300,7 +300,7 @@ def _rows(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordB
 
 
 def symbol_table(symbols: DataFrame, files: DataFrame, texts: DataFrame, whole: bool = True) -> DataFrame:
-    """The functions, methods and declarations of all files with own comment and code; unless ``whole`` without both, and only those that say something.
+    """The functions, methods and declarations of all files with own comment and code; unless ``whole`` without both.
 
     Of functions that say nothing, only those of C and C++ are kept, as a declaration elsewhere may document them.
     """
@@ -326,24 +326,32 @@ def pairs(symbols: DataFrame, files: DataFrame, texts: DataFrame) -> DataFrame:
     of the same project with the same qualified name and normalised signature is documented; of several, the least text counts. Symbols
     with null or impossible lines, without text or in other languages have no pair. Declarations are no pairs by themselves. Each symbol once.
     """
-    table = symbol_table(symbols, files, texts)
-    own = table.where(F.col("says") & ~F.col("declares"))
-    own = _once(own, F.col("documentation"), "own")
-    key = ["project_id", "qualified_name", "signature"]
-    declared = table.where(F.col("says") & F.col("declares")).groupBy(*key).agg(F.min("documentation").alias("declared"))
-    bare = table.where(~F.col("says") & ~F.col("declares"))
-    return own.unionByName(_once(bare.join(declared, key), F.col("declared"), "declaration"))
+    once = _each_once(symbol_table(symbols, files, texts), "qualified_name", "kind", "language", "documentation", "code")
+    return once.select("p.*", F.when(F.col("origin") == OWN, "own").otherwise("declaration").alias("doc_from"))
+
 
+#: Where documentation comes from; of several the least counts.
+OWN, DECLARED = 0, 1
 
-def _once(df: DataFrame, doc: Column, origin: str) -> DataFrame:
-    one = df.groupBy("sid").agg(F.min(F.struct("symbol_id", "qualified_name", "kind", "language", doc.alias("documentation"), "code")).alias("p"))
-    return one.select("p.*", F.lit(origin).alias("doc_from"))
+
+def _each_once(table: DataFrame, *columns: str) -> DataFrame:
+    """(sid, origin, p): the definitions of a symbol table with documentation that says something, own or of a separate declaration of the same
+    project, qualified name and signature; each symbol once, by its own comment if any of its rows has one. p holds symbol_id and ``columns``."""
+    key = ["project_id", "qualified_name", "signature"]
+    kept = ["sid", "symbol_id", *columns]
+    own = table.where(F.col("says") & ~F.col("declares")).select(F.lit(OWN).alias("origin"), *kept)
+    declared = table.where(F.col("says") & F.col("declares")).groupBy(*key).agg(F.min("documentation").alias("declared"))
+    bare = table.where(~F.col("says") & ~F.col("declares")).drop("documentation").join(declared.withColumnRenamed("declared", "documentation"), key)
+    both = own.unionByName(bare.select(F.lit(DECLARED).alias("origin"), *kept))
+    one = both.groupBy("sid").agg(F.min(F.struct("origin", F.struct("symbol_id", *columns).alias("p"))).alias("m"))
+    return one.select("sid", "m.*")
 
 
 def documented(symbols: DataFrame, files: DataFrame, texts: DataFrame) -> DataFrame:
     """(symbol_id): the symbols whose own documentation comment says something, each once.
 
-    The rows of pairs() with doc_from 'own', without its join of declarations, which adds no such row, and without carrying code and text.
+    The rows of pairs() with doc_from 'own', by the same join of declarations, but without carrying code and text. The table is
+    written once, as three branches read it.
     """
-    own = symbol_table(symbols, files, texts, whole=False).where(F.col("says") & ~F.col("declares"))
-    return own.groupBy("sid").agg(F.min("symbol_id").alias("symbol_id")).select("symbol_id")
+    table = Scratch(symbols.sparkSession, "documented").save(symbol_table(symbols, files, texts, whole=False))
+    return _each_once(table).where(F.col("origin") == OWN).select("p.symbol_id")

@@ -81,3 +81,17 @@ def test_overloads_of_documented_declarations(spark, make):
     rows += [sym(f"{i}{f}", f, "function", a, a + 2) for f in "co" for i, a in (("x", 1), ("y", 4), ("z", 7))]
     got = {r.symbol_id: (r.documentation, r.doc_from) for r in d.pairs(make(SYMBOL, rows), files, texts).collect()}
     assert got == {"xc": ("Falls back to a mirror.", "declaration"), "zc": ("Adds up to the last page.", "declaration")}
+
+
+def test_found_runs_the_join_of_declarations(spark, make):
+    files = make(FILE, [{"file_id": "h", "relative_path": "a.h", "project_id": "1"}, {"file_id": "c", "relative_path": "a.c", "project_id": "1"}])
+    texts = spark.createDataFrame([("h", "/** Waits for the slowest worker. */\nint run(int a);\n"), ("c", "int run(int n)\n{\n}\n/* Falls back to a mirror. */\nint own(int n)\n{\n}\n")], "file_id string, content string")
+    sym = lambda i, f, n, k, a: {"symbol_id": i, "file_id": f, "name": n, "qualified_name": n, "kind": k, "start_line": a, "end_line": a + 2}
+    # rows "b" and " B" are one symbol, of which one row has an own comment and the other only a documented declaration
+    s = make(SYMBOL, [sym("d", "h", "run", "function_declaration", 2), sym("a", "c", "run", "function", 1), sym("b", "c", "own", "function", 5), sym(" B", "c", "run", "function", 1)])
+    found = d.documented(s, files, texts)
+    assert [r.symbol_id for r in found.collect()] == ["b"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = next(x for x in plan.split("\n") if "Join Inner" in x)
+    assert all(k in join for k in ("project_id", "qualified_name", "signature"))
+    assert sorted((r.symbol_id, r.documentation, r.doc_from) for r in d.pairs(s, files, texts).collect()) == [("a", "Waits for the slowest worker.", "declaration"), ("b", "Falls back to a mirror.", "own")]
