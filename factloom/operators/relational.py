@@ -261,6 +261,12 @@ def top_per_group(f: Facts, n: int = 3) -> DataFrame:
     return top_n(s, ["kind"], [F.desc("span"), F.asc("sid")], n, "sid").select("kind", "rank", "sid", "span")
 
 
+def references_in_order(f: Facts) -> DataFrame:
+    """All references by file, line, name and id. Null names come first, other nulls last."""
+    last = [F.col(c).asc_nulls_last() for c in ("file_id", "start_line", "reference_id")]
+    return f.refs_of("file_id", "start_line", "tname").orderBy(last[0], last[1], F.col("tname").asc_nulls_first(), last[2])
+
+
 # -- sets -------------------------------------------------------------------------------------------------------------
 
 

@@ -249,4 +249,4 @@ def _exception_bases(f: Facts) -> DataFrame:
 
 
 add("g_exc_propagate", lambda f: functions.exception_flow(_code("exceptions", "python")(f), _known(f, "python").select("source", "target", "line"), bases=_exception_bases(f)))
-add("o_refs_in_order", lambda f: f.refs_of("file_id", "start_line", "tname").orderBy("file_id", "start_line", "tname", "reference_id"), "SELECT reference_id, file_id, start_line, tname FROM rf ORDER BY file_id, start_line, tname NULLS FIRST, reference_id", _REF)
+add("o_refs_in_order", rel.references_in_order, "SELECT reference_id, file_id, start_line, tname FROM rf ORDER BY file_id, start_line, tname NULLS FIRST, reference_id", _REF)

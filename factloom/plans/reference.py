@@ -391,7 +391,7 @@ add("x_decl_used", lambda f: more.declared_and_used(more.externals_used(f), f.ra
 add("a_effect_unres", lambda f: f.refs_of("src", "kind", "status").where((F.col("kind") == "call") & F.col("status").isin("unresolved", "ambiguous")).join(graph.bfs(f.calls().select("src", "dst"), _seed_symbols(f, "src"), 3).select(F.col("node").alias("src")), "src", "left_semi").groupBy("status").agg(F.count_distinct("reference_id").alias("n")),
     "SELECT status, count(DISTINCT reference_id) AS n FROM rf WHERE kind = 'call' AND status IN ('unresolved', 'ambiguous') AND src IN (SELECT node FROM reach) GROUP BY status", _SYM, _REF, _CALLS, _SEED_SRC, _reach("calls", "src", "dst", 3), recursive=True)
 add("j_calls_by_line", lambda f: f.refs_of("src", "kind", "start_line").where(F.col("kind") == "call").groupBy("src", "start_line").agg(F.count(F.lit(1)).alias("n_calls")), "SELECT src, start_line, count(*) AS n_calls FROM rf WHERE kind = 'call' GROUP BY ALL", _REF)
-add("o_ref_order", lambda f: f.refs_of("file_id", "start_line", "tname").orderBy("file_id", "start_line", "tname", "reference_id"), "SELECT reference_id, file_id, start_line, tname FROM rf ORDER BY file_id, start_line, tname NULLS FIRST, reference_id LIMIT 100", _REF)
+add("o_ref_order", rel.references_in_order, "SELECT reference_id, file_id, start_line, tname FROM rf ORDER BY file_id, start_line, tname NULLS FIRST, reference_id LIMIT 100", _REF)
 add("g_call", more.call_graph,
     "SELECT src, CASE WHEN status = 'resolved' AND dst IS NOT NULL THEN dst WHEN status = 'external' THEN 'external:' || coalesce(tname, '') ELSE 'open:' || coalesce(src, '') || ':' || coalesce(tname, '') END AS dst, CASE WHEN status <> 'resolved' THEN status ELSE confidence END AS style, count(*) AS n FROM rf WHERE kind = 'call' GROUP BY ALL", _REF)
 _PARENT = f"SELECT r.node, r.distance, (SELECT min(c.src) FROM calls c JOIN ({_NEAREST}) p ON c.src = p.node AND p.distance = r.distance - 1 WHERE c.dst = r.node) AS parent FROM ({_NEAREST}) r"

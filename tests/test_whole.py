@@ -2,6 +2,7 @@
 
 from test_queries import DATA, con, rows  # noqa: F401
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -17,6 +18,18 @@ def test_all_references_are_ordered(spark, con, rows):  # noqa: F811
     assert key == sorted(key)
 
 
+@pytest.mark.parametrize("name", ["o_ref_order", "o_refs_in_order"])
+def test_order_of_nulls_is_that_of_sql(spark, tmp_path, name):
+    some = [(f"r{i:03}", None if i % 3 == 0 else f"f{i % 5}", None if i % 4 == 0 else i % 7, None if i % 5 == 0 else f" n{i % 11}") for i in range(300)] + [(None, "f1", 1, "n1"), ("r001", "f1", 1, "n1 ")]
+    spark.createDataFrame([(*r, *[None] * 6) for r in some], "reference_id string, file_id string, start_line int, target_name string, source_symbol_id string, target_symbol_id string, reference_kind string, resolution_status string, confidence string, note string").write.parquet(f"{tmp_path}/refs.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW refs AS SELECT * FROM read_parquet('{tmp_path}/refs.parquet/*.parquet')")
+    got = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).select("reference_id", "file_id", "start_line", "tname").collect()]
+    sql = entry.oracle_sql()[name]
+    assert got == c.execute(sql.removesuffix(" LIMIT 100")).fetchall() and len(got) == 301
+    assert got[:100] == c.execute(sql).fetchall()[:100]
+
+
 @pytest.mark.parametrize("name", ["t_bm25f_body", "t_scores_body", "t_eval_body"])
 def test_body_counts(spark, con, rows, name):  # noqa: F811
     got, want = entry.queries()[name](spark, DATA).toPandas(), con.execute(entry.oracle_sql()[name]).df()
