@@ -14,7 +14,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,11 @@ FEATURES = [
 ]
 
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|#x[0-9A-Fa-f]+|[^\w\s]")
+#: The same for texts of ASCII characters only, of which \x1c to \x1f are blanks too.
+_ASCII_TOKEN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|#x[0-9A-Fa-f]+|[^\w\s\x1c-\x1f]", re.A)
+_ASCII_BLANKS = b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+#: ASCII letters and underscores to a, digits to 9.
+_ASCII_SHAPE = bytes(97 if chr(i).isalpha() or i == 95 else 57 if chr(i).isdigit() else i for i in range(128)) + bytes(128)
 _IDENT = re.compile(r"[A-Za-z_]\w*")
 _NUMBER = re.compile(r"\d+")
 #: Repeated items of a list, such as numbers with their commas.
@@ -39,7 +44,8 @@ _COMMENT = {
     "semi": re.compile(r"\"(?:\\[\s\S]|[^\"\\])*\"|;[^\n]*"),
     "slash": re.compile(r"//[^\n]*|/\*[\s\S]*?\*/"),
 }
-_LITERAL = re.compile(r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`")
+#: Each branch begins with a single character and no loop has branches, which re runs through several times faster.
+_LITERAL = re.compile(r"""\"\"\"[\s\S]*?\"{3}|'''[\s\S]*?'{3}|\"[^\"\\]*(?:\\.[^\"\\]*)*\"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'|`[^`]*`""")
 _HEAD_LINE = re.compile(r"^\s*(?:#(?!include|define|if|endif|pragma|line\b)|//|;|/?\*|\*/|<!--|\"{3}|'{3}|$)")
 
 #: Comments and what may hold their marks without being one.
@@ -97,29 +103,65 @@ def code_of(lines: list[str], kind: str) -> tuple[str, list[str]]:
     """The text of lines without comments, and its tokens."""
     text = "\n".join(lines)
     code = _COMMENT[kind].sub((lambda m: m.group() if m.group()[0] == '"' else " ") if kind == "semi" else " ", text)
-    return code, _TOKEN.findall(code)
-
-
-def features(lines: list[str], code: str, tokens: list[str]) -> list[float]:
-    """The values of FEATURES for the lines of a file without its notices; code and tokens are theirs without comments."""
+    return code, (_ASCII_TOKEN if code.isascii() else _TOKEN).findall(code)
+
+
+def _shaped(text: str) -> str:
+    """The text with every identifier as a and every number outside identifiers as 9."""
+    if not text.isascii():
+        return _NUMBER.sub("9", _IDENT.sub("a", text))
+    x = np.frombuffer(text.encode().translate(_ASCII_SHAPE), np.uint8)
+    letter, digit = x == 97, x == 57
+    word = letter | digit
+    after = np.zeros(len(x), bool)
+    after[1:] = word[:-1]
+    keep = ~(word & after)
+    inner = np.flatnonzero(letter[1:] & digit[:-1]) + 1  # an identifier begins here where only digits come before it
+    if len(inner):
+        first = np.maximum.accumulate(np.where(word & ~after, np.arange(len(x)), 0))[inner]
+        seen = np.cumsum(letter)
+        keep[inner[digit[first] & (seen[inner] - seen[first] == 1)]] = True
+    return x[keep].tobytes().decode("ascii")
+
+
+def _shapes(lines: list[str]) -> Counter[str]:
+    """How often lines have each shape. No repeated item reaches over a line, so lines of one form are looked at once."""
+    plain = [x for x in lines if x.isascii()]
+    forms = Counter(_shaped("\n".join(plain)).split("\n")) if plain or not lines else Counter()
+    if len(plain) < len(lines):
+        forms.update(_shaped("\n".join(x for x in lines if not x.isascii())).split("\n"))
+    shapes: Counter[str] = Counter()
+    for shape, c in zip(_RUN.sub(r"\1", "\n".join(forms)).split("\n"), forms.values()):
+        shapes[shape.strip()] += c
+    return shapes
+
+
+def _unblank(text: str) -> int:
+    """The number of characters that are no blanks."""
+    return len(text.encode().translate(None, _ASCII_BLANKS)) if text.isascii() else len("".join(text.split()))
+
+
+def features(lines: list[str], code: str, tokens: list[str], counts: Counter[str] | None = None) -> list[float]:
+    """The values of FEATURES for the lines of a file without its notices; code and tokens are theirs without comments, counts the tokens' if known."""
     text = "\n".join(lines)
     n = max(1, len(text))
     m = max(1, len(tokens))
-    counts = Counter(tokens)
-    entropy, total, squares, whole, short, distinct, numbers, figures = 0.0, 0, 0, 0, 0, 0, 0, 0
+    counts = Counter(tokens) if counts is None else counts
+    entropy, distinct, numbers, figures = 0.0, 0, 0, 0
+    widths: dict[int, int] = {}
+    bits = {c: c * math.log2(c / m) for c in set(counts.values())}
     for t, c in counts.items():
-        entropy -= c * math.log2(c / m)
+        entropy -= bits[c]
         first = t[0]
         if first.isalpha() or first == "_":
             k = len(t)
-            total += c
-            whole += c * k
-            squares += c * k * k
-            short += c * (k <= 2)
+            widths[k] = widths.get(k, 0) + c
             distinct += 1
         elif first.isdigit() or t[:2] == "#x":
             numbers += c * len(t)
             figures += c
+    total, whole, squares = (sum(c * k**i for k, c in widths.items()) for i in range(3))
+    short = widths.get(1, 0) + widths.get(2, 0)
     symbols = m - total - figures
     total = max(1, total)
     mean = whole / total
@@ -128,8 +170,7 @@ def features(lines: list[str], code: str, tokens: list[str]) -> list[float]:
     k = max(1, len(full))
     lengths = np.fromiter(map(len, full), np.float64, len(full)) if full else np.zeros(1)
     line_mean = float(lengths.sum()) / k
-    body = "\n".join(full)
-    shapes = Counter(map(str.strip, _RUN.sub(r"\1", _NUMBER.sub("9", _IDENT.sub("a", body))).split("\n")))
+    shapes = _shapes(full)
     strings = _LITERAL.findall(code)
     data = [x for x in strings if _looks_like_data(x)]
     outside = numbers - sum(map(len, _NUMBER.findall("\n".join(strings))))
@@ -140,7 +181,7 @@ def features(lines: list[str], code: str, tokens: list[str]) -> list[float]:
         math.sqrt(max(0.0, squares / total - mean**2)),
         short / total,
         distinct / total,
-        1 - len("".join(code.split())) / max(1, len("".join(text.split()))),
+        1 - _unblank(code) / max(1, _unblank(text)),
         math.log1p(line_mean),
         math.log1p(math.sqrt(max(0.0, float((lengths**2).sum()) / k - line_mean**2))),
         math.log1p(float(lengths.max())),
@@ -161,30 +202,37 @@ def features(lines: list[str], code: str, tokens: list[str]) -> list[float]:
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 2
+_GOLDEN, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(29)
 _MIX = np.random.default_rng(20240501).integers(1, 2**63, size=(BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
 
 
-def shingles(tokens: list[str]) -> np.ndarray:
-    """Distinct hashes of the five-word shingles of a text's tokens; of shorter texts, one of all words."""
+def shingles(tokens: list[str], distinct: Iterable[str] | None = None) -> np.ndarray:
+    """Distinct hashes, in order, of the five-word shingles of a text's tokens; of shorter texts, one of all words. distinct: the distinct tokens, if known."""
     # 0 marks what is no word; a word whose hash is 0 counts as 1
-    ids = {t: (zlib.crc32(t.encode("utf-8", "replace")) or 1) if t[0].isalnum() or t[0] == "_" else 0 for t in set(tokens)}
-    a = np.fromiter(map(ids.__getitem__, tokens), np.uint64, len(tokens))
-    a = a[a > 0]
+    ids = {t: (zlib.crc32(t.encode("utf-8", "replace")) or 1) if t[0].isalnum() or t[0] == "_" else 0 for t in (set(tokens) if distinct is None else distinct)}
+    a = np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
+    a = a[a > 0].view(np.uint64)
     if not len(a):
         return np.zeros(0, np.uint64)
     k = min(SHINGLE, len(a))
     h = np.zeros(len(a) - k + 1, np.uint64)
     for i in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + a[i : len(a) - k + 1 + i]
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
+        h *= _GOLDEN
+        h += a[i : len(a) - k + 1 + i]
+        h ^= h >> _SHIFT
+    h.sort()
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
 
 
 def bands(sh: np.ndarray) -> list[int]:
     """Keys of the bands of a MinHash signature: texts of similarity 0.8 share one with probability 1 - (1 - 0.8**2)**16, over 0.9999999."""
     if not len(sh):
         return []
-    h = (sh[None, :] * _MIX[:, :1]) ^ ((sh[None, :] * _MIX[:, 1:]) >> np.uint64(31))
+    h, low = sh * _MIX[:, :1], sh * _MIX[:, 1:]
+    low >>= np.uint64(31)
+    h ^= low
     low = h.min(axis=1).reshape(BANDS, ROWS)
     keys = low[:, 0] * np.uint64(0xC2B2AE3D27D4EB4F) ^ (low[:, 1] + np.arange(BANDS, dtype=np.uint64))
     return keys.view(np.int64).tolist()
@@ -225,13 +273,14 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             body = [x for k, x in enumerate(body, len(head)) if k not in said]
             origin = next((o for x in first if (o := states_foreign(x))), None)
             code, tokens = code_of(body, kind)
-            f = features(body, code, tokens)
+            counts = Counter(tokens)
+            f = features(body, code, tokens, counts)
             m = _FOREIGN_DIR.search(path)
             if notice or _OUTPUT_NAME.search(path):  # neither can be seen in the features
                 label = 1
             else:
                 label = 0 if first and not origin else None
-            for column, v in zip(out, (i, f, bands(shingles(tokens)), label, notice, origin, m.group(1).lower() if m else None, not text.strip())):
+            for column, v in zip(out, (i, f, bands(shingles(tokens, counts)), label, notice, origin, m.group(1).lower() if m else None, not text.strip())):
                 column.append(v)
         yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 

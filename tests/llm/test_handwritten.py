@@ -112,3 +112,20 @@ def test_labels_are_hidden_from_the_features():
     data = "x = [\n" + "  1, 2, 3, 4,\n" * 200 + "]\n"
     assert look("a.py", "# Rows.\n" + data)["label"] == 0 and look("a.min.py", data)["label"] == 1 and look("a.py", data)["label"] is None
     assert look("a.min.py", data)["features"] == look("a.py", data)["features"]
+
+
+def test_faster_ways_see_the_same():
+    import re
+    from collections import Counter
+
+    slow = re.compile(r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`")
+    r = np.random.default_rng(5)
+    for chars in ("aZ_09 .\n", "\"'\\`a \n", "a9_.,;:-+\"' \t\n\r\x0b\x0c\x1c\x1f#x/*(", "aé9_日 ²٣.,\"'\n\xa0"):
+        for n in r.integers(0, 60, 1500):
+            text = "".join(r.choice(list(chars), n))
+            form = h._NUMBER.sub("9", h._IDENT.sub("a", text))
+            assert h._shaped(text) == form and h._shapes(text.split("\n")) == Counter(map(str.strip, h._RUN.sub(r"\1", form).split("\n")))
+            assert h._shapes([]) == Counter([""]) and h._unblank(text) == len("".join(text.split())) and h._LITERAL.findall(text) == slow.findall(text)
+            assert not text.isascii() or h._ASCII_TOKEN.findall(text) == h._TOKEN.findall(text)
+            tokens = h._TOKEN.findall(text)
+            assert h.features([text], text, tokens, Counter(tokens)) == h.features([text], text, tokens) and (h.shingles(tokens, set(tokens)) == h.shingles(tokens)).all()
